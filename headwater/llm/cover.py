@@ -216,7 +216,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(ws) - 11)) AS r(i)),
 hit AS (SELECT doc_id, i FROM win JOIN (SELECT k, min(doc_id) AS least FROM win GROUP BY k) USING (k) WHERE least < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit, range(13) AS r(j)),
