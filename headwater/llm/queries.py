@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from headwater.llm import cover
+from headwater.llm import cover, suffixes
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.query,
     "op8_substring_dedup": cover.query,
 }
 
