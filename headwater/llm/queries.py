@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from headwater.llm import cover, suffixes
+from headwater.llm import cover, suffixes, wumanber
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
     "op8_substring_dedup": cover.query,
+    "op9_decontamination": wumanber.query,
 }
 
 ORACLE = {
     "op8_substring_dedup": cover.SQL,
+    "op9_decontamination": wumanber.SQL,
 }
