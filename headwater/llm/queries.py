@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from headwater.llm import cover, suffixes, wumanber
+from headwater.llm import cover, histogram, packing, suffixes, wumanber
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
+    "op3_token_counts": histogram.query,
+    "op4_packing": packing.query,
     "op8_substring_dedup": cover.query,
     "op9_decontamination": wumanber.query,
 }
