@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from headwater.llm import cover, histogram, packing, suffixes, wumanber
+from headwater.llm import cover, crf, histogram, packing, suffixes, wumanber
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op8_substring_dedup": cover.query,
     "op9_decontamination": wumanber.query,
+    "op10_secret_scan": crf.query,
 }
 
 ORACLE = {
