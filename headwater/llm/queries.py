@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from headwater.llm import cover, crf, histogram, packing, suffixes, wumanber
+from headwater.llm import cover, crf, histogram, omh, packing, suffixes, wumanber
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
     "op3_token_counts": histogram.query,
     "op4_packing": packing.query,
+    "op6_near_dedup": omh.query,
     "op8_substring_dedup": cover.query,
     "op9_decontamination": wumanber.query,
     "op10_secret_scan": crf.query,
