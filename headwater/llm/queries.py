@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+
 from headwater.llm import cover, crf, histogram, licenses, omh, packing, quality, suffixes, urlfilter, wumanber
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": suffixes.query,
     "op2_url_filter": urlfilter.query,
     "op3_token_counts": histogram.query,
