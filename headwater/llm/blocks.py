@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from headwater.llm.common import shuffle_partitions, text_bytes
 
 #: Text bytes a block aims at; numpy's temporaries take some 60 times that.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 BITS = 48
 
 

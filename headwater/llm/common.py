@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -54,6 +55,22 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
+def trimmed(run):
+    """run, after which the worker gives freed memory back: it lives for many tasks, and executors share their limit."""
+
+    def call(*tables):
+        out = run(*tables)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return out
+
+    # applyInArrow counts the arguments
+    return (lambda table: call(table)) if run.__code__.co_argcount == 1 else (lambda left, right: call(left, right))
+
+
 def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets) of a string or binary column; a null counts as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

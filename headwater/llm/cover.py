@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import blocks as B
-from headwater.llm.common import buffers, ids_of
+from headwater.llm.common import buffers, ids_of, trimmed
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
@@ -118,6 +118,7 @@ class Words:
 
 
 def anchors(ranges: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         w = Words(table)
         return B.hash_runs(w.block, w.distinct, w.several, ranges)
@@ -126,6 +127,7 @@ def anchors(ranges: int):
 
 
 def candidates(ranges: int):
+    @trimmed
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return B.cut(0, np.zeros(0, np.int64), None)
@@ -138,6 +140,7 @@ def candidates(ranges: int):
     return run
 
 
+@trimmed
 def earlier(table: pa.Table) -> pa.Table:
     """For a range: of each window of each run, whether a document outside has it and a smaller id than all of the run's."""
     his, los, docs = [], [], []
@@ -162,6 +165,7 @@ def earlier(table: pa.Table) -> pa.Table:
 
 
 def removal(with_text: bool):
+    @trimmed
     def run(docs: pa.Table, both: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import blocks as B
-from headwater.llm.common import buffers, ids_of
+from headwater.llm.common import buffers, ids_of, trimmed
 from headwater.llm.cover import mix, word_hashes
 
 LENGTH, GRAM = 50, 20
@@ -193,6 +193,7 @@ def strings(row: int) -> list[tuple[int, bytes]]:
     return [(back, text[most - back : most - back + LENGTH]) for back in range(LENGTH - len(after), most + 1)]
 
 
+@trimmed
 def earlier(table: pa.Table) -> pa.Table:
     """For a range: of each row of each run, which of its strings have a smaller id somewhere than in the run."""
     runs, docs, masks = [], [], []
@@ -246,6 +247,7 @@ def earlier(table: pa.Table) -> pa.Table:
 def counted(hot_runs: int):
     """For a range: of each gram of each run, 0 if one document has it, 1 if several do, 2 if over hot_runs runs do."""
 
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         first = B.repeated(table)
         hashes = [B.unplanes(x.as_py())[0] for x in table["run"]]
@@ -265,6 +267,7 @@ def counted(hot_runs: int):
 
 
 def anchors(ranges: int):
+    @trimmed
     def run(table: pa.Table) -> pa.Table:
         s = Suffixes(table)
         return B.hash_runs(s.block, s.distinct, s.several, ranges)
@@ -273,6 +276,7 @@ def anchors(ranges: int):
 
 
 def candidates(ranges: int):
+    @trimmed
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return B.cut(0, np.zeros(0, np.int64), None)
@@ -284,6 +288,7 @@ def candidates(ranges: int):
 
 
 def removal(ranges: int, with_bytes: bool):
+    @trimmed
     def run(docs: pa.Table, both: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.string(), pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
