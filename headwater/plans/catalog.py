@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_regime", "q_flow", "q_time")
+MODULES = ("q_regime", "q_flow", "q_time", "q_transfer")
 
 
 def _all(what: str) -> dict:
