@@ -230,3 +230,18 @@ def skew_variance(n: Column, skew: Column) -> Column:
 def weighted_skew(station: Column, mse_station: Column, region: Column, mse_region: Column) -> Column:
     """Skews weighted by the inverse of their mean square errors."""
     return (mse_region * station + mse_station * region) / (mse_region + mse_station)
+
+
+def preferred_factors(factors: DataFrame) -> DataFrame:
+    """Of change factors (site, source, aep, factor) those of the site's state where there are any, else the national ones."""
+    by = Window.partitionBy("site")
+    own = F.max(F.when(F.col("source") == "state", 1).otherwise(0)).over(by)
+    return factors.withColumn("own", own).filter((F.col("own") == 0) | (F.col("source") == "state")).drop("own")
+
+
+def projected_factors(equations: DataFrame, values: DataFrame, projected: DataFrame) -> DataFrame:
+    """Ratio of each equation's estimate at projected characteristics (site, changes: map) to that at the present ones."""
+    changed = values.join(projected, "site").withColumn("chars", F.map_concat(F.map_filter("chars", lambda k, v: ~F.map_contains_key("changes", k)), "changes")).drop("changes")
+    now = evaluate(equations, values).select("site", "equation", "aep", F.col("flow").alias("now"))
+    then = evaluate(equations, changed).select("site", "equation", F.col("flow").alias("then"))
+    return now.join(then, ["site", "equation"]).withColumn("factor", F.col("then") / F.col("now"))

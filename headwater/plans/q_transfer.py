@@ -110,6 +110,8 @@ QUERIES = {
     "f11_f13_f19_f20_weights": lambda s, d: rounded(_weights(s, d)),
     "f16_transpose": lambda s, d: rounded(_transpose(s, d)),
     "f21_change_factors": lambda s, d: rounded(T.change_factors(quantiles(s, d), s.sql("SELECT * FROM VALUES (0.5D, 1.1D), (1.5D, 1.2D), (2.0D, 1.4D) AS t(z, factor)"))),
+    "f22_preferred_factors": lambda s, d: rounded(T.preferred_factors(table(s, d, "part").select(F.floor(F.col("p_partkey") / 3).cast("string").alias("site"), F.when(F.col("p_partkey") % 5 == 0, "state").otherwise("national").alias("source"), F.lit(0.1).alias("aep"), (F.col("p_size") / 10).alias("factor")))),
+    "f23_projected_factors": lambda s, d: rounded(T.projected_factors(equations(s, d), chars(s, d), chars(s, d).select("site", F.create_map(F.lit("PRECIP"), F.col("chars")["PRECIP"] * 1.1).alias("changes")))),
     "f27_ring_area": lambda s, d: rounded(_basins(s).select("basin", (T.ring_area(F.get("rings", F.lit(0))) / 1e6).alias("km2")), 3),
     "f28_haversine": lambda s, d: rounded(sites(s, d).select("site", T.haversine(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(-110.0)).alias("km"))),
     "g11_threshold_table": lambda s, d: rounded(P.threshold_table(P.station_rows(coded(s, d), periods(s, d)))),
@@ -211,6 +213,8 @@ ty AS (SELECT site, aep, ratio, flow * pow(ratio, b) AS flow, flow * 0.8 * pow(r
 --
 SELECT *, coalesce(flow >= lag(flow) OVER (PARTITION BY site ORDER BY aep DESC), true) AS monotonic FROM ty""", "aep ratio flow lower upper"),
     "f21_change_factors": sql(_Q + "cf AS (SELECT site, aep, z, flow, CASE WHEN z <= 0.5 THEN 1.1 WHEN z >= 2.0 THEN 1.4 WHEN z < 1.5 THEN 1.1 + 0.1 * (z - 0.5) ELSE 1.2 + 0.2 * (z - 1.5) / 0.5 END::DOUBLE AS factor FROM qt)\n--\nSELECT site, aep, factor, flow * factor AS flow, z < 0.5 OR z > 2.0 AS held FROM cf", "aep factor flow"),
+    "f22_preferred_factors": "WITH f AS (SELECT (p_partkey // 3)::VARCHAR AS site, CASE WHEN p_partkey % 5 = 0 THEN 'state' ELSE 'national' END AS source, 0.1::DOUBLE AS aep, p_size / 10 AS factor FROM part), g AS (SELECT *, bool_or(source = 'state') OVER (PARTITION BY site) AS own FROM f) SELECT site, source, aep, round(factor, 6) AS factor FROM g WHERE NOT own OR source = 'state'",
+    "f23_projected_factors": sql(_EQ + "SELECT site, equation, aep, 10 ** log_flow AS now, 10 ** (log_flow + 1.1 * (log10(0.011 * p_retailprice + 1) - log10(0.01 * p_retailprice + 1))) AS then, 10 ** (1.1 * (log10(0.011 * p_retailprice + 1) - log10(0.01 * p_retailprice + 1))) AS factor FROM ev JOIN part ON site = 'part' || p_partkey".replace(" AS then,", ' AS "then",'), 'aep now "then" factor'),
     "f28_haversine": sql(_SITES + f"SELECT site, {_HAV.format(a='lat', b='lon', c='45.0', d='-110.0')} AS km FROM si", "km"),
     "g11_threshold_table": sql(_ST + 'gr AS (SELECT *, year - row_number() OVER (PARTITION BY site, tl, tu ORDER BY year) AS run FROM sr WHERE kind <> \'censored\' OR qu > 1e-20)\n--\nSELECT site, tl, tu, min(year) AS start, max(year) AS "end", count(*) AS n FROM gr GROUP BY site, tl, tu, run', "tl tu", 'start "end"'),
     "g22_skew_weighting": sql("sk AS (SELECT site, count(*) AS n, skewness(log10(flow)) AS skew FROM mpeaks GROUP BY site)\n--\nms AS (SELECT *, 10 ** (CASE WHEN abs(skew) <= 0.9 THEN -0.33 + 0.08 * abs(skew) ELSE -0.52 + 0.30 * abs(skew) END - CASE WHEN abs(skew) <= 1.5 THEN 0.94 - 0.26 * abs(skew) ELSE 0.55 END * log10(n / 10)) AS mse FROM sk)\n--\nSELECT *, (0.302 * skew - 0.3 * mse) / (0.302 + mse) AS weighted FROM ms", "skew mse weighted"),
