@@ -124,7 +124,8 @@ def shingle_counts(text):
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("levels", [omh.LEVELS, 0])
+def test_near_duplicates(spark, levels):
     r = random.Random(5)
     word = lambda: "".join(r.choice(["ba", "ko", "li", "me", "tu", "ra"]) for _ in range(r.randint(1, 5)))
     passage = [word() for _ in range(60)]
@@ -138,7 +139,7 @@ def test_near_duplicates(spark):
     texts += [texts[0], texts[0].upper() + "!", "", None, "one two", "one two", "..."]
     r.shuffle(texts)
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = collected(omh.classes(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")))
+    got = collected(omh.classes(spark.createDataFrame(rows + rows[:2], "doc_id long, text string"), levels=levels))
     sh = {i: shingle_counts(t) for i, t in rows}
     top = {i: i for i in sh}
 
