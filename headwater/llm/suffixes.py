@@ -80,7 +80,7 @@ class Suffixes:
                 self.p = a[new]
                 self.lo, self.hi = self.p - s[ends], self.p - s[new]
                 self.doc = np.searchsorted(self.offsets, self.p, side="right") - 1
-                grams = h[self.p] >> U(64 - B.BITS)
+                grams = mix(h[self.p] * C[1]) >> U(64 - B.BITS)  # anchors have small hashes: mixed again, they spread over all ranges
         self.gram = grams
         self.distinct, self.at, self.several = B.distinct(grams, self.ids[self.doc])
 
