@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headwater.llm.common import materialize
 from headwater.llm.tokens import VOCABULARY, token_counts
 
 #: Lengths of one bucket; sums run within buckets, and over the buckets' totals.
@@ -25,6 +26,7 @@ def limits(counts: DataFrame) -> DataFrame:
         .withColumn("sum_tokens", F.col("n_tokens") * F.col("n_docs"))
         .withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET))
     )
+    hist = materialize(hist, "lengths")  # a row for each length; else each use would encode all texts again
     up = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = hist.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("sum_tokens").alias("t"))
     grand = totals.select(
