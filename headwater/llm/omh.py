@@ -2,29 +2,33 @@
 
 A sketch takes the two least hashes of a document's occurrence-labelled 5-word shingles and keeps them in text
 order; two documents share it with a chance near the square of their similarity. Documents with equal words are one
-from the start. In a bucket of equal sketches, every member is aligned with the least id (the leader); members that
-fail and aren't in one class yet meet again without it, until none are left, so no bucket is cut short and no
-pairs within a bucket are listed. Links are closed to classes by label propagation.
+from the start. In a bucket of equal sketches, every member is aligned with the least id (the leader). Members that
+fail, and aren't all in one class by then, meet again without it in buckets of one more equal sketch, which parts what only a common passage has brought
+together; after LEVELS sketches they meet, with more leaders at a time, until none are left. So no bucket is cut short, and no pairs within a bucket
+are listed. Links are closed to classes by label propagation.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.llm.common import byte_values, materialize
 from headwater.llm.cover import grams, mix, word_hashes
 from headwater.llm.wumanber import words
 
-SHINGLE, SKETCHES = 5, 12
+SHINGLE, SKETCHES, LEVELS = 5, 16, 4
 SIMILARITY = 0.8
 PIECE_BYTES = 2 << 20
+#: The most leaders of a bucket in one step, once it isn't parted any more.
+MOST_LEADERS = 64
 #: Members of a leader that are aligned in one task's group.
 GROUP = 64
 U = np.uint64
@@ -164,23 +168,31 @@ def verify(similarity: float):
         texts = byte_values(leaders["lead_text"].slice(0, 1)) + byte_values(members["text"])
         h, count, _ = shingles(texts)
         at = np.cumsum([0, *count.tolist()]).tolist()
-        values = h.tolist()
-        own = values[: at[1]]
-        ok = [aligned(own, values[at[i] : at[i + 1]], similarity) >= similarity for i in range(1, len(texts))]
+        first = np.sort(h[: at[1]])
+        own = h[: at[1]].tolist()
+        ok = []
+        for i in range(1, len(texts)):
+            other = h[at[i] : at[i + 1]]
+            # labelled shingles are distinct: an alignment never has more than both have
+            place = np.minimum(np.searchsorted(first, other), len(first) - 1)
+            common = int((first[place] == other).sum()) if len(first) else 0
+            enough = common >= similarity * (len(own) + len(other) - common) and common > 0
+            ok.append(bool(enough) and aligned(own, other.tolist(), similarity) >= similarity)
         return members.select(names).filter(pa.array(ok))
 
     return run
 
 
-def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (leader, member) that are similar. A leader's members are dealt over groups of bounded size."""
+def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """pairs (leader, member), and those that are similar. A leader's members are dealt over groups of bounded size."""
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).alias("part"))
     dealt = materialize(dealt, "pairs")
     members = dealt.join(texts.withColumnRenamed("doc_id", "member"), "member")
     leaders = dealt.select("leader", "part").distinct().join(texts.withColumnRenamed("doc_id", "leader"), "leader")
     leaders = leaders.select(F.col("leader").alias("of"), F.col("part").alias("group"), F.col("text").alias("lead_text"))
-    return members.groupBy("leader", "part").cogroup(leaders.groupBy("of", "group")).applyInArrow(verify(similarity), "leader long, member long")
+    same = members.groupBy("leader", "part").cogroup(leaders.groupBy("of", "group")).applyInArrow(verify(similarity), "leader long, member long")
+    return dealt.select("leader", "member"), materialize(same, "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, levels: int = LEVELS) -> DataFrame:
     """The near-duplicate class of each document: one row per row of docs.
 
     docs: doc_id, text (more columns are ignored). Words are runs of letters, digits and characters above ASCII, A-Z
@@ -211,27 +223,49 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     every = materialize(features(docs), "sketches")
     equal = every.filter("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.min_by("sketches", "doc_id").alias("sketches"), F.first("n_shingles").alias("n_shingles"))
     single = materialize(equal.filter("copy_of IS NOT NULL"), "words")
-    bucket = single.select(F.col("copy_of").alias("doc"), "n_shingles", F.explode("sketches").alias("bucket"))
-    crowded = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    active = materialize(bucket.join(crowded, "bucket"), "buckets")
+
+    def refined(rows: DataFrame) -> DataFrame:
+        """Each row in a bucket for each further sketch; rows: doc, n_shingles, sketches, bucket, last."""
+        each = rows.select("doc", "n_shingles", "sketches", "bucket", "last", F.posexplode("sketches").alias("k", "v")).filter("k > last")
+        return each.select("doc", "n_shingles", "sketches", F.xxhash64("bucket", "k", "v").alias("bucket"), F.col("k").alias("last"))
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+        return materialize(rows.join(shared, "bucket"), "buckets")
+
+    start = single.select(F.col("copy_of").alias("doc"), "n_shingles", "sketches", F.lit(0).cast("long").alias("bucket"), F.lit(-1).alias("last"))
+    active = crowded(refined(start))
     texts = docs.select("doc_id", "text").join(active.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
     texts = materialize(texts, "texts")
-    found = None
-    while True:
-        lead = active.groupBy("bucket").agg(F.min(F.struct("doc", "n_shingles")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        led = active.join(lead.select("bucket", F.col("lead.doc").alias("leader"), F.col("lead.n_shingles").alias("m")), "bucket").filter("doc <> leader")
+    found = seen = None
+    for level in itertools.count(1):
+        if level <= levels:
+            lead = active.groupBy("bucket").agg(F.min(F.struct("doc", "n_shingles")).alias("lead")).select("bucket", F.col("lead.doc").alias("leader"), F.col("lead.n_shingles").alias("m"))
+            led = active.join(lead, "bucket").filter("doc <> leader")
+        else:
+            # small buckets of what is alike in several sketches, and yet not similar: more leaders at a time
+            n = min(4 ** (level - levels), MOST_LEADERS)
+            active = active.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc")))
+            lead = active.filter(F.col("rank") <= n).select("bucket", F.col("doc").alias("leader"), F.col("n_shingles").alias("m"), F.col("rank").alias("first"))
+            led = active.join(lead, "bucket").filter("rank > first")
+            active = active.filter(F.col("rank") > n).drop("rank")
         near = F.least("n_shingles", "m") >= similarity * F.greatest("n_shingles", "m")
         pairs = led.filter(near).select("leader", F.col("doc").alias("member")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["leader", "member"], "left_anti")
-        new = materialize(links(pairs, texts, similarity), "links")
+        if seen is not None:
+            pairs = pairs.join(seen, ["leader", "member"], "left_anti")
+        pairs, new = links(pairs, texts, similarity)
+        seen = pairs if seen is None else materialize(seen.unionAll(pairs), "pairs")
         found = new if found is None else materialize(found.unionAll(new), "links")
+        ok = found.select("leader", F.col("member").alias("doc"))
+        done = led.join(ok, ["leader", "doc"], "left_semi").select("bucket", "doc")
+        done = done.unionAll(lead.select("bucket", F.col("leader").alias("doc"))).distinct()
+        left = active.join(done, ["bucket", "doc"], "left_anti").select("doc", "n_shingles", "sketches", "bucket", "last")
+        # who is in one class already needs no more links: only buckets of several classes go on
         label = components(found)
-        # those that failed against their leader meet again if they are in more than one class
-        left = led.select("bucket", "doc", "n_shingles", "leader").join(found.select("leader", F.col("member").alias("doc"), F.lit(1).alias("ok")), ["leader", "doc"], "left").filter("ok IS NULL")
         left = left.join(label.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         several = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        active = materialize(left.select("bucket", "doc", "n_shingles").join(several, "bucket"), "buckets")
+        left = left.join(several, "bucket").drop("label")
+        active = crowded(refined(left) if level < levels else left)
         if not active.limit(1).count():
             break
     copies = every.join(single.select("digest", "copy_of"), "digest", "left").join(label.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left")
