@@ -4,8 +4,11 @@ A sketch takes the two least hashes of a document's occurrence-labelled 5-word s
 order; two documents share it with a chance near the square of their similarity. Documents with equal words are one
 from the start. In a bucket of equal sketches, every member is aligned with the least id (the leader). Members that
 fail, and aren't all in one class by then, meet again without it in buckets of one more equal sketch, which parts what only a common passage has brought
-together; after LEVELS sketches they meet, with more leaders at a time, until none are left. So no bucket is cut short, and no pairs within a bucket
-are listed. Links are closed to classes by label propagation.
+together; after LEVELS sketches they meet, with more leaders at a time, until none are left. Links are closed to classes by label propagation.
+
+A match leaves the bucket with its leader. One less the Jaccard similarity is a metric, so what it may be like there is
+as near to the leader as the match and the limit together: those of other classes are aligned with it at the end. So no
+bucket is cut short, and no pairs within a bucket are listed.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ PIECE_BYTES = 2 << 20
 MOST_LEADERS = 64
 #: Members of a leader that are aligned in one task's group.
 GROUP = 64
+#: For sums of distances as floating point numbers.
+SLACK = 1e-9
 U = np.uint64
 SEEDS = np.random.default_rng(5).integers(0, 2**63, SKETCHES, dtype=U) * U(2) + U(1)
 
@@ -159,40 +164,74 @@ def aligned(a: list[int], b: list[int], least: float) -> float:
 
 
 def verify(similarity: float):
-    """For a leader: the members that are similar enough to it."""
+    """For a leader: the members that can matter to it, their Jaccard similarity, and whether they are aligned enough."""
+    least = 2 * similarity - 1 - SLACK
 
     def run(members: pa.Table, leaders: pa.Table) -> pa.Table:
         names = ["leader", "member"]
         if not len(members) or not len(leaders):
-            return pa.table([pa.array([], pa.int64())] * 2, names=names)
+            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64()), pa.array([], pa.bool_())], names=[*names, "jaccard", "same"])
         texts = byte_values(leaders["lead_text"].slice(0, 1)) + byte_values(members["text"])
         h, count, _ = shingles(texts)
         at = np.cumsum([0, *count.tolist()]).tolist()
         first = np.sort(h[: at[1]])
         own = h[: at[1]].tolist()
-        ok = []
+        jaccard, ok = [], []
         for i in range(1, len(texts)):
             other = h[at[i] : at[i + 1]]
             # labelled shingles are distinct: an alignment never has more than both have
             place = np.minimum(np.searchsorted(first, other), len(first) - 1)
             common = int((first[place] == other).sum()) if len(first) else 0
             enough = common >= similarity * (len(own) + len(other) - common) and common > 0
+            jaccard.append(common / max(1, len(own) + len(other) - common))
             ok.append(bool(enough) and aligned(own, other.tolist(), similarity) >= similarity)
-        return members.select(names).filter(pa.array(ok))
+        out = members.select(names).append_column("jaccard", pa.array(jaccard, pa.float64())).append_column("same", pa.array(ok, pa.bool_()))
+        return out.filter(pa.array([x >= least for x in jaccard], pa.bool_()))
 
     return run
 
 
 def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """pairs (leader, member), and those that are similar. A leader's members are dealt over groups of bounded size."""
+    """pairs (leader, member), and what verify says of them. A leader's members are dealt over groups of bounded size."""
     sizes = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(sizes, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / GROUP)).alias("part"))
     dealt = materialize(dealt, "pairs")
     members = dealt.join(texts.withColumnRenamed("doc_id", "member"), "member")
     leaders = dealt.select("leader", "part").distinct().join(texts.withColumnRenamed("doc_id", "leader"), "leader")
     leaders = leaders.select(F.col("leader").alias("of"), F.col("part").alias("group"), F.col("text").alias("lead_text"))
-    same = members.groupBy("leader", "part").cogroup(leaders.groupBy("of", "group")).applyInArrow(verify(similarity), "leader long, member long")
-    return dealt.select("leader", "member"), materialize(same, "links")
+    near = members.groupBy("leader", "part").cogroup(leaders.groupBy("of", "group")).applyInArrow(verify(similarity), "leader long, member long, jaccard double, same boolean")
+    return dealt.select("leader", "member"), materialize(near, "links")
+
+
+def behind(found: DataFrame, sizes: DataFrame, texts: DataFrame, seen: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """Labels with the links of each leader's matches to members of other classes. sizes: doc, n_shingles.
+
+    found: leader, member, jaccard, same. Of each leader, the smaller side (matches or others) leads: 4, 16, ... at a
+    time, until all have led or one class has all.
+    """
+    limit = 1 - similarity + SLACK
+    size = sizes.select(F.col("doc").alias("member"), "n_shingles")
+    rows = found.select("leader", "member", "same", (1 - F.col("jaccard")).alias("far")).join(size, "member")
+    for turn in itertools.count(1):
+        at = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
+        rows = rows.join(at("member"), "member", "left").join(at("leader"), "leader", "left").filter("same OR coalesce(member_label, member) <> coalesce(leader_label, leader)").drop("member_label", "leader_label")
+        sides = rows.groupBy("leader").agg(F.max(F.when(F.col("same"), F.col("far"))).alias("reach"), F.min(F.when(~F.col("same"), F.col("far"))).alias("nearest"))
+        # an inner filter: a leader without matches, or without others, has a null
+        rows = materialize(rows.join(sides, "leader").filter(F.when(F.col("same"), F.col("nearest") - F.col("far") <= limit).otherwise(F.col("far") - F.col("reach") <= limit)).drop("reach", "nearest"), "behind")
+        if not rows.limit(1).count():
+            return label
+        n = rows.groupBy("leader").agg(F.count(F.when(F.col("same"), 1)).alias("matches"), F.count(F.when(~F.col("same"), 1)).alias("others"))
+        few = rows.join(n, "leader").filter("same = (matches <= others)")
+        rank = F.row_number().over(Window.partitionBy("leader").orderBy("member"))
+        first = few.withColumn("rank", rank).filter(F.col("rank") <= min(4**turn, MOST_LEADERS))
+        first = materialize(first.select("leader", F.col("member").alias("first"), F.col("same").alias("side"), F.col("far").alias("d"), F.col("n_shingles").alias("m")), "leaders")
+        near = (F.least("n_shingles", "m") >= similarity * F.greatest("n_shingles", "m")) & (F.abs(F.col("far") - F.col("d")) <= limit)
+        pairs = rows.join(first, "leader").filter("same <> side").filter(near).select(F.least("first", "member").alias("leader"), F.greatest("first", "member").alias("member")).distinct()
+        pairs, new = links(pairs.join(seen, ["leader", "member"], "left_anti"), texts, similarity)
+        seen = materialize(seen.unionAll(pairs), "pairs")
+        found = materialize(found.select("leader", "member", "same").unionAll(new.select("leader", "member", "same")), "links")
+        label = components(found.filter("same"))
+        rows = rows.join(first.select("leader", F.col("first").alias("member")), ["leader", "member"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,25 +288,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, levels: int = LEVEL
             lead = active.filter(F.col("rank") <= n).select("bucket", F.col("doc").alias("leader"), F.col("n_shingles").alias("m"), F.col("rank").alias("first"))
             led = active.join(lead, "bucket").filter("rank > first")
             active = active.filter(F.col("rank") > n).drop("rank")
-        near = F.least("n_shingles", "m") >= similarity * F.greatest("n_shingles", "m")
+        # who has so many more or fewer shingles is like neither the leader nor its matches
+        near = F.least("n_shingles", "m") >= (2 * similarity - 1 - SLACK) * F.greatest("n_shingles", "m")
         pairs = led.filter(near).select("leader", F.col("doc").alias("member")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["leader", "member"], "left_anti")
         pairs, new = links(pairs, texts, similarity)
         seen = pairs if seen is None else materialize(seen.unionAll(pairs), "pairs")
         found = new if found is None else materialize(found.unionAll(new), "links")
-        ok = found.select("leader", F.col("member").alias("doc"))
+        ok = found.filter("same").select("leader", F.col("member").alias("doc"))
         done = led.join(ok, ["leader", "doc"], "left_semi").select("bucket", "doc")
         done = done.unionAll(lead.select("bucket", F.col("leader").alias("doc"))).distinct()
         left = active.join(done, ["bucket", "doc"], "left_anti").select("doc", "n_shingles", "sketches", "bucket", "last")
         # who is in one class already needs no more links: only buckets of several classes go on
-        label = components(found)
+        label = components(found.filter("same"))
         left = left.join(label.select(F.col("node").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         several = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
         left = left.join(several, "bucket").drop("label")
         active = crowded(refined(left) if level < levels else left)
         if not active.limit(1).count():
             break
+    label = behind(found, single.select(F.col("copy_of").alias("doc"), "n_shingles"), texts, seen, label, similarity)
     copies = every.join(single.select("digest", "copy_of"), "digest", "left").join(label.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left")
     own = F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("doc_id"))
     return copies.select("doc_id", "n_words", own.alias("copy_of"), F.coalesce("label", own).alias("class_id"))

@@ -156,6 +156,24 @@ def test_near_duplicates(spark, levels):
     assert {i: got[i].class_id for i in sh} == {i: root(i) for i in sh}
 
 
+def test_versions_of_one_text(spark):
+    """A text without the least id, and versions that are like it but not like one another."""
+    r = random.Random(8)
+    hub = [f"h{k}" for k in range(200)]
+    texts = []
+    for v in range(70):
+        c = list(hub)
+        for k in r.sample(range(10, 190, 6), 4):
+            c[k] = f"v{v}x{k}"
+        texts.append(" ".join(c))
+    texts.insert(50, " ".join(hub))
+    sh = [shingle_counts(t) for t in texts]
+    like = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    assert all(like(sh[50], x) for x in sh) and sum(like(a, b) for k, a in enumerate(sh) for b in sh[:k]) < 100
+    got = collected(omh.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {x.class_id for x in got.values()} == {0}
+
+
 def test_alignment():
     assert omh.aligned([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], 0.8) == 1
     assert omh.aligned([1, 2, 9, 3, 4, 5], [1, 2, 3, 4, 5], 0.8) == pytest.approx(5 / 6)
