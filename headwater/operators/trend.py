@@ -146,8 +146,8 @@ def screen(series: DataFrame, n_permutations: int = 999, seed: int = 0) -> DataF
     return series.groupBy("site").applyInPandas(run, RESULT)
 
 
-def field_bootstrap(values: DataFrame, n_bootstrap: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """Share of bootstrap replicates (whole years drawn across sites) with as many significant sites as observed.
+def field_bootstrap(values: DataFrame, n_bootstrap: int = 1000, seed: int = 0, alpha: float = 0.05, block_length: int = 1) -> DataFrame:
+    """Share of bootstrap replicates (blocks of whole years drawn across sites) with as many significant sites as observed.
 
     values: site, year, flow. The years-by-sites matrix of periods is one group; its size is that of the network.
     """
@@ -155,8 +155,13 @@ def field_bootstrap(values: DataFrame, n_bootstrap: int = 500, seed: int = 0, al
     def run(part: pd.DataFrame) -> pd.DataFrame:
         m = part.pivot_table(index="year", columns="site", values="flow").to_numpy(float)
         count = lambda a: sum(S.mann_kendall_p(c[~np.isnan(c)]) < alpha for c in a.T if (~np.isnan(c)).sum() >= 10)
-        seen, rng = count(m), np.random.default_rng(seed)
-        more = sum(count(m[rng.integers(0, len(m), len(m))]) >= seen for _ in range(n_bootstrap))
+        m = m[:, (~np.isnan(m)).sum(axis=0) >= 10]
+        if not 1 <= block_length <= len(m):
+            raise ValueError(f"block_length must be in [1, {len(m)}], got {block_length}")
+        seen, rng, more = count(m), np.random.default_rng(seed), 0
+        for _ in range(n_bootstrap):
+            starts = rng.integers(0, len(m) - block_length + 1, -(-len(m) // block_length))
+            more += count(m[(starts[:, None] + np.arange(block_length)).ravel()[: len(m)]]) >= seen
         return pd.DataFrame({"n_significant": [seen], "p_value": [(1 + more) / (1 + n_bootstrap)], "n_sites": [m.shape[1]]})
 
     return values.withColumn("network", F.lit(0)).groupBy("network").applyInPandas(run, "n_significant long, p_value double, n_sites long")

@@ -16,7 +16,7 @@ QUERIES = {
     "f1_d47_moment_quantiles": lambda s, d: rounded(Q.moment_quantiles(monthly_peaks(s, d)), 4),
     "g17_g30_compare": lambda s, d: rounded(Q.compare(Q.moment_quantiles(monthly_peaks(s, d)), Q.fit_peaks(monthly_peaks(s, d), screen=False)), 4),
     "d23_g18_low_flow_quantiles": lambda s, d: rounded(L.conditional_quantiles(L.log_moments(L.annual_minimum(daily(s, d), 7, min_days=300))), 4),
-    "g19_bootstrap_limits": lambda s, d: rounded(Q.bootstrap_limits(L.annual_minimum(daily(s, d), 7, min_days=300), n_resamples=200), 4),
+    "g19_bootstrap_limits": lambda s, d: rounded(Q.bootstrap_limits(L.annual_minimum(daily(s, d), 7, min_days=300)), 4),
 }
 
 ORACLE = {

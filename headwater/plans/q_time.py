@@ -43,7 +43,7 @@ QUERIES = {
     "d30_cusum": lambda s, d: rounded(T.cusum(monthly_peaks(s, d))),
     "d31_lombard": lambda s, d: rounded(T.lombard(monthly_peaks(s, d))),
     "d32_field_significance": lambda s, d: rounded(T.field_significance(_p(s, d), 0.5)),
-    "d33_field_bootstrap": lambda s, d: rounded(T.field_bootstrap(monthly_peaks(s, d), 200)),
+    "d33_field_bootstrap": lambda s, d: rounded(T.field_bootstrap(monthly_peaks(s, d))),
     "d34_pot_counts": lambda s, d: rounded(T.pot_counts(daily(s, d, "nation"), 60.0, 7, 150)),
     "d34_pot_events": lambda s, d: rounded(T.pot_events(daily(s, d, "nation"), 60.0, 7, 150)),
     "d35_count_trend": lambda s, d: rounded(T.count_trend(T.pot_counts(daily(s, d, "nation"), 60.0, 7, 150))),

@@ -195,3 +195,32 @@ def test_streaming_days(spark, tmp_path):
 def test_empty_series(spark):
     none = series(spark, [])
     assert R.flashiness(none).count() == 0 and L.annual_minimum(none).count() == 0 and R.smoothed_minima(none).count() == 0
+
+
+def test_bootstrap_limits_follow_the_skew(spark):
+    from headwater.functions import special
+    from headwater.operators import frequency
+
+    rng = np.random.default_rng(4)
+    logs = 1 + 0.4 * (rng.gamma(1.0, size=40) - 1)
+    got = {r.non_exceedance: r for r in frequency.bootstrap_limits(spark.createDataFrame([("a", float(10**x)) for x in logs], "site string, min_flow double")).collect()}
+    skewness = lambda y: float(np.clip(len(y) * ((y - y.mean()) ** 3).sum() / ((len(y) - 1) * (len(y) - 2) * y.std(ddof=1) ** 3), -3, 3))
+    factors = np.array([special.frequency_factor(skewness(logs), 1 - p) for p in (np.arange(2000) + 0.5) / 2000])
+    want = {0.1: [], 0.5: []}
+    for _ in range(1500):
+        y = logs.mean() + logs.std(ddof=1) * rng.choice(factors, 40)
+        for p, d in want.items():
+            d.append(y.mean() + special.frequency_factor(skewness(y), 1 - p) * y.std(ddof=1))
+    for p, d in want.items():
+        assert got[p].n_used == 2000
+        assert np.log10([got[p].lower, got[p].upper]) == pytest.approx(np.quantile(d, [0.05, 0.95]), abs=0.025)
+
+
+def test_field_bootstrap_draws_blocks(spark):
+    from headwater.operators import trend
+
+    rows = [(s, y, float(y * (s == "a") + (y * 7) % 11)) for s in "ab" for y in range(20)] + [("c", y, 1.0) for y in range(9)]
+    values = spark.createDataFrame(rows, "site string, year int, flow double")
+    whole = trend.field_bootstrap(values, block_length=20).first()
+    assert whole.n_sites == 2 and whole.p_value == 1.0
+    assert trend.field_bootstrap(values).first().p_value < 1.0
