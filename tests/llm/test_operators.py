@@ -124,8 +124,8 @@ def shingle_counts(text):
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
 
 
-@pytest.mark.parametrize("levels", [omh.LEVELS, 0])
-def test_near_duplicates(spark, levels):
+@pytest.mark.parametrize("bounds", [{}, {"block_docs": 3, "first_pairs": 1, "bucket_docs": 4}])
+def test_near_duplicates(spark, bounds):
     r = random.Random(5)
     word = lambda: "".join(r.choice(["ba", "ko", "li", "me", "tu", "ra"]) for _ in range(r.randint(1, 5)))
     passage = [word() for _ in range(60)]
@@ -139,7 +139,7 @@ def test_near_duplicates(spark, levels):
     texts += [texts[0], texts[0].upper() + "!", "", None, "one two", "one two", "..."]
     r.shuffle(texts)
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = collected(omh.classes(spark.createDataFrame(rows + rows[:2], "doc_id long, text string"), levels=levels))
+    got = collected(omh.classes(spark.createDataFrame(rows + rows[:2], "doc_id long, text string"), **bounds))
     sh = {i: shingle_counts(t) for i, t in rows}
     top = {i: i for i in sh}
 
@@ -174,6 +174,35 @@ def test_versions_of_one_text(spark):
     assert {x.class_id for x in got.values()} == {0}
 
 
+def test_links_along_chains(spark):
+    """Chains whose neighbours alone are alike: no link between different texts is lost."""
+    r = random.Random(3)
+    texts = []
+    for c in range(60):
+        t = [f"c{c}w{k}" for k in range(150)]
+        for step in range(6):
+            texts.append(" ".join(t))
+            at = r.randrange(139)
+            t = [*t[:at], *(f"c{c}s{step}x{k}" for k in range(12)), *t[at + 12 :]]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    sh = [shingle_counts(texts[k]) for k in order]
+    like = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    pairs = [(i, j) for i in range(len(sh)) for j in range(i) if order[i] // 6 == order[j] // 6 and like(sh[i], sh[j])]
+    got = {x.doc_id: x.class_id for x in omh.classes(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")).collect()}
+    assert len(pairs) > 290 and all(got[i] == got[j] for i, j in pairs)
+
+
+def test_one_row_of_each_class_stays(spark):
+    base = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
+    rows = [(3, base[0], 1), (3, base[0], 2), (5, base[0] + " end", 3), (None, base[0], 4), (None, base[1], 5), (None, base[1].upper(), 6), (None, "", 7), (None, None, 8), (6, "", 9), (7, None, 10), (8, base[2], 11)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    left = omh.first_of_each(d)
+    got = [(r.doc_id, (r.text or "").lower()) for r in left.collect()]
+    assert left.columns == d.columns
+    assert sorted(got, key=str) == sorted([(3, base[0]), (None, base[1]), (None, ""), (None, ""), (6, ""), (7, ""), (8, base[2])], key=str)
+
+
 def test_alignment():
     assert omh.aligned([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], 0.8) == 1
     assert omh.aligned([1, 2, 9, 3, 4, 5], [1, 2, 3, 4, 5], 0.8) == pytest.approx(5 / 6)
