@@ -5,6 +5,9 @@ documents as one delta-coded run for each range of the hash space; a range's tas
 with one bit for each feature of each run. Copies within a block collapse before anything is sent, and an
 answer names positions of a run, never documents, so a hot group costs a block no more than one row.
 All steps read the same exchange of the texts (Spark reuses it), which is written once.
+
+The numbers of blocks and ranges follow from the bytes of text alone. A block sends a run to those ranges only for
+which it has features, so there are never more runs than features, however large the input is.
 """
 
 from __future__ import annotations
@@ -19,20 +22,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import shuffle_partitions, text_bytes
+from headwater.llm.common import settled, text_bytes
 
-#: Text bytes a block aims at; numpy's temporaries take some 60 times that.
-BLOCK_BYTES = 3 << 19
+#: Text bytes of a block, and of the blocks whose features would fill a range.
+BLOCK_BYTES, RANGE_BYTES = 6 << 20, 24 << 20
+#: Text bytes that are hashed at once; numpy's temporaries take some 60 times that.
+PIECE_BYTES = 3 << 19
 BITS = 48
 
 
-def in_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) and the number of hash ranges. Blocks follow the bytes, at least two for each task."""
-    n = shuffle_partitions(docs.sparkSession)
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(block, doc_id, text) and the number of hash ranges.
+
+    Rows are dealt by id, length and their place in the input, so that no id or text, however often it is there, fills
+    a block.
+    """
+    docs = settled(docs.select("doc_id", "text"))
     total = text_bytes(docs)
-    count = max(2 * n, math.ceil(total / BLOCK_BYTES))
-    key = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(count)).cast("int")
-    return docs.select(key.alias("block"), "doc_id", "text"), max(n, math.ceil(total / (64 * BLOCK_BYTES)))
+    key = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.monotonically_increasing_id()), F.lit(max(1, math.ceil(total / block_bytes)))).cast("int")
+    return docs.select(key.alias("block"), "doc_id", "text"), max(1, math.ceil(total / (RANGE_BYTES / BLOCK_BYTES * block_bytes)))
 
 
 def planes(values: np.ndarray) -> bytes:

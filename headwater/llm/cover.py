@@ -68,6 +68,18 @@ def grams(h: np.ndarray, n: int, which: int) -> np.ndarray:
     return mix(out)
 
 
+def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """word_hashes by pieces of the buffer; words ascend."""
+    out = np.empty(len(starts), U)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + B.PIECE_BYTES, side="right")))
+        x, y = int(starts[a]), int(ends[b - 1])
+        out[a:b] = word_hashes(buf[x:y], starts[a:b] - x, ends[a:b] - x, which)
+        a = b
+    return out
+
+
 class Words:
     """The words of a block's documents and their windows; documents ascend by id."""
 
@@ -89,12 +101,12 @@ class Words:
         n = len(starts)
         place = np.arange(n) - self.firsts[self.of]
         left = self.counts[self.of] - place
-        self.h = word_hashes(joined, starts, ends, 0)
+        self.h = hashed(joined, starts, ends, 0)
         self.anchors = np.flatnonzero((left >= GRAM) & np.isin(place % PERIOD, COVER))
         self.valid = left >= WINDOW
         self.anchor_hash = grams(self.h, GRAM, 0)[self.anchors] >> U(64 - B.BITS)
         self.distinct, self.at, self.several = B.distinct(self.anchor_hash, self.ids[self.of[self.anchors]])
-        self.second = lambda: word_hashes(joined, starts, ends, 1)
+        self.second = lambda: hashed(joined, starts, ends, 1)
 
     def windows(self, bits: np.ndarray) -> None:
         """The windows that hold a repeated anchor; distinct ones ascend by fingerprint."""
@@ -196,16 +208,17 @@ def removal(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Drops each word of a 13-word window that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text (more columns are ignored). Returns one row per input row: doc_id, n_words, n_removed,
     kept_sha256 and kept, the words that stay, joined by one space (null unless with_text). Words are runs of
     other bytes than ASCII white space. A null or empty text has no words; texts of under 13 words keep all.
     A null doc_id counts as the smallest. Rows with one doc_id don't remove from each other, so repeated rows
-    get equal results. A text of any length is one block's; others gather in blocks of some 3 MB.
+    get equal results. A text of any length is one block's, and is hashed in pieces. block_bytes bounds blocks, not
+    the result.
     """
-    parts, n = B.in_blocks(docs)
+    parts, n = B.in_blocks(docs, block_bytes)
     by_block = parts.groupBy("block")
     runs = by_block.applyInArrow(anchors(n), B.RUN)
     first = runs.groupBy("q").applyInArrow(B.repeated, B.ANSWER)

@@ -32,6 +32,8 @@ PLACE = 30
 ALL = (1 << (REACH + 1)) - 1
 #: Runs that have a gram beyond which each string around it is sent by its own hash, so that no group is one task's.
 HOT_RUNS = 2048
+#: Rows of suffixes that are built at once.
+ROWS = 1 << 17
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 U = np.uint64
 C = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
@@ -46,6 +48,17 @@ def least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (n - width)], values[n - width :]) if n > width else values
 
 
+def ordered(rows: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's place among the distinct ones, by range and bytes; where those are first)."""
+    order = np.argsort(rows.reshape(-1).view(f"S{WIDTH}"), kind="stable")
+    order = order[np.argsort(q[order], kind="stable")]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return place, order[first]
+
+
 class Suffixes:
     """The anchored suffixes of a block's documents."""
 
@@ -55,34 +68,40 @@ class Suffixes:
         self.raw_ids = table["doc_id"].combine_chunks()
         self.buf, self.offsets = buffers(table["text"])
         n, sizes = len(self.buf), np.diff(self.offsets)
-        assert n < 1 << PLACE, "a text of over 1 GiB"
+        ok = np.zeros(n + 1, np.int8)
+        long = sizes >= LENGTH
+        ok[self.offsets[:-1][long]] += 1
+        ok[self.offsets[1:][long] - LENGTH + 1] -= 1
+        inside = np.cumsum(ok, dtype=np.int8)[:n]
+        parts = [self._anchored(a, inside) for a in range(0, n, B.PIECE_BYTES)]
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
+        self.p, self.lo, self.hi, self.gram = (np.concatenate(x) for x in zip(none, *parts))
+        self.doc = np.searchsorted(self.offsets, self.p, side="right") - 1
+        self.distinct, self.at, self.several = B.distinct(self.gram, self.ids[self.doc])
+
+    def _anchored(self, a: int, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Anchors of the strings that start in a piece of the block, the least and most bytes before them, their grams."""
+        buf = self.buf[a : a + B.PIECE_BYTES + LENGTH - 1]
         none = np.zeros(0, np.int64)
-        self.p = self.lo = self.hi = self.doc = none
-        grams = np.zeros(0, U)
-        if n >= LENGTH:
-            padded = np.concatenate([self.buf, np.zeros(LENGTH + 8, np.uint8)])
-            at = lambda k: np.ndarray((n - GRAM + 1,), "<u8", padded.data, k, (1,))
-            h = at(0) * C[0]
-            h += at(8) * C[1]
-            h += at(12) * C[2]
-            h = mix(h)
-            key = (h & U(2**64 - 2**PLACE)) | np.arange(len(h), dtype=U)
-            anchor = (least(key, REACH + 1) & U(2**PLACE - 1)).astype(np.int64)
-            ok = np.zeros(n + 1, np.int8)
-            long = sizes >= LENGTH
-            ok[self.offsets[:-1][long]] += 1
-            ok[self.offsets[1:][long] - LENGTH + 1] -= 1
-            s = np.flatnonzero(np.cumsum(ok, dtype=np.int8)[: len(anchor)])
-            if len(s):
-                a = anchor[s]
-                new = np.flatnonzero(np.diff(a, prepend=-1))
-                ends = np.append(new[1:], len(s)) - 1
-                self.p = a[new]
-                self.lo, self.hi = self.p - s[ends], self.p - s[new]
-                self.doc = np.searchsorted(self.offsets, self.p, side="right") - 1
-                grams = mix(h[self.p] * C[1]) >> U(64 - B.BITS)  # anchors have small hashes: mixed again, they spread over all ranges
-        self.gram = grams
-        self.distinct, self.at, self.several = B.distinct(grams, self.ids[self.doc])
+        if len(buf) < LENGTH:
+            return none, none, none, np.zeros(0, U)
+        padded = np.concatenate([buf, np.zeros(LENGTH + 8, np.uint8)])
+        at = lambda k: np.ndarray((len(buf) - GRAM + 1,), "<u8", padded.data, k, (1,))
+        h = at(0) * C[0]
+        h += at(8) * C[1]
+        h += at(12) * C[2]
+        h = mix(h)
+        key = (h & U(2**64 - 2**PLACE)) | np.arange(len(h), dtype=U)
+        anchor = (least(key, REACH + 1) & U(2**PLACE - 1)).astype(np.int64)
+        s = np.flatnonzero(inside[a : a + len(buf)][: len(anchor)])
+        if not len(s):
+            return none, none, none, np.zeros(0, U)
+        own = anchor[s]
+        new = np.flatnonzero(np.diff(own, prepend=-1))
+        ends = np.append(new[1:], len(s)) - 1
+        p = own[new]
+        # anchors have small hashes: mixed again, they spread over all ranges
+        return p + a, p - s[ends], p - s[new], mix(h[p] * C[1]) >> U(64 - B.BITS)
 
     def items(self, codes: np.ndarray, ranges: int) -> None:
         """The rows of the repeated anchors; distinct ones ascend by range and bytes."""
@@ -91,33 +110,50 @@ class Suffixes:
         count = self.hi[hot] - self.lo[hot] + 1
         each = np.repeat(hot, count)
         back = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + self.lo[each]
-        p = self.ip = np.concatenate([self.p[cold], self.p[each]])
+        self.ip = np.concatenate([self.p[cold], self.p[each]])
         self.ilo, self.ihi = np.concatenate([self.lo[cold], back]), np.concatenate([self.hi[cold], back])
         self.idoc = np.concatenate([self.doc[cold], self.doc[each]])
-        start = self.p[each] - back
-        q = B.ranges(np.concatenate([self.gram[cold], word_hashes(self.buf, start, start + LENGTH, 0) >> U(64 - B.BITS)]) if len(each) else self.gram[cold], ranges)
+        gram = np.concatenate([self.gram[cold], np.zeros(len(each), U)])
+        d = self.ids[self.idoc]
+        parts = [self._rows(a, gram, len(cold), ranges) for a in range(0, len(d), ROWS)]
+        self.place = np.zeros(len(d), np.int64)
+        self.rows, self.q, self.least = np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if parts:
+            rows, q = (np.concatenate(x) for x in list(zip(*parts))[:2])
+            ends = np.cumsum([0, *(len(x[0]) for x in parts)]).tolist()
+            place, at = ordered(rows, q)
+            self.rows, self.q = rows[at], q[at]
+            for a, (_, _, own), e in zip(range(0, len(d), ROWS), parts, ends):
+                self.place[a : a + ROWS] = place[e + own]
+            self.least = np.full(len(at), 2**63 - 1, np.int64)
+            np.minimum.at(self.least, self.place, d)
+
+    def _rows(self, a: int, gram: np.ndarray, cold: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct rows of the items from a on, their ranges, and each item's place among them."""
+        p, lo, hi = (x[a : a + ROWS] for x in (self.ip, self.ilo, self.ihi))
+        key = gram[a : a + ROWS].copy()
+        each = np.arange(max(0, cold - a), len(p))  # a string of a hot anchor goes by its own hash
+        for k in range(0, len(each), ROWS >> 3):
+            start = (p - hi)[each[k : k + (ROWS >> 3)]]
+            text = np.lib.stride_tricks.sliding_window_view(self.buf, LENGTH)[start]
+            flat = np.ascontiguousarray(text).reshape(-1)
+            at = np.arange(0, len(flat), LENGTH)
+            key[each[k : k + (ROWS >> 3)]] = word_hashes(flat, at, at + LENGTH, 0) >> U(64 - B.BITS)
         m = np.zeros((len(p), WIDTH), np.uint8)
-        if len(p):
-            padded = np.concatenate([np.zeros(REACH, np.uint8), self.buf, np.zeros(LENGTH, np.uint8)])
-            m[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(padded, LENGTH)[p + REACH]
-            m[:, LENGTH:-1] = np.lib.stride_tricks.sliding_window_view(padded, REACH)[p][:, ::-1]
-            col, after = np.arange(LENGTH), (LENGTH - self.ilo)[:, None]
-            m[:, :LENGTH][col > after] = 0
-            m[:, :LENGTH][col == after] = AFTER
-            col, before = np.arange(REACH), self.ihi[:, None]
-            m[:, LENGTH:-1][col > before] = 0
-            m[:, LENGTH:-1][col == before] = BEFORE
-            m[:, -1] = LAST
-        order = np.argsort(m.reshape(-1).view(f"S{WIDTH}"), kind="stable")
-        order = order[np.argsort(q[order], kind="stable")]
-        rows, d = m[order], self.ids[self.idoc[order]]
-        first = np.ones(len(rows), bool)
-        first[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        at = np.flatnonzero(first)
-        self.place = np.empty(len(rows), np.int64)
-        self.place[order] = np.cumsum(first) - 1
-        self.rows, self.q = rows[at], q[order][at]
-        self.least = np.minimum.reduceat(d, at) if len(at) else np.zeros(0, np.int64)
+        low, high = int(p.min()) - REACH, int(p.max()) + LENGTH
+        text = np.concatenate([np.zeros(max(0, -low), np.uint8), self.buf[max(0, low) : high], np.zeros(LENGTH, np.uint8)])
+        m[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[p - low]
+        m[:, LENGTH:-1] = np.lib.stride_tricks.sliding_window_view(text, REACH)[p - low - REACH][:, ::-1]
+        col, after = np.arange(LENGTH), (LENGTH - lo)[:, None]
+        m[:, :LENGTH][col > after] = 0
+        m[:, :LENGTH][col == after] = AFTER
+        col, before = np.arange(REACH), hi[:, None]
+        m[:, LENGTH:-1][col > before] = 0
+        m[:, LENGTH:-1][col == before] = BEFORE
+        m[:, -1] = LAST
+        q = B.ranges(key, ranges)
+        place, at = ordered(m, q)
+        return m[at], q[at], place
 
     def coded(self, a: int, b: int) -> bytes:
         """The rows a to b as a front-coded run."""
@@ -324,15 +360,16 @@ def removal(ranges: int, with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = True, hot_runs: int = HOT_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = True, hot_runs: int = HOT_RUNS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Drops each byte of a 50-byte string that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text (more columns are ignored). Returns one row per input row: doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256 and kept, the bytes that stay (null unless with_bytes). Strings may
     start inside a character. A null or empty text has no bytes; texts of under 50 bytes keep all. A null doc_id
     counts as the smallest. Rows with one doc_id don't remove from each other, so repeated rows get equal results.
+    A text of any length is one block's, and is hashed in pieces. block_bytes bounds blocks, not the result.
     """
-    parts, n = B.in_blocks(docs)
+    parts, n = B.in_blocks(docs, block_bytes)
     by_block = parts.groupBy("block")
     first = by_block.applyInArrow(anchors(n), B.RUN).groupBy("q").applyInArrow(counted(hot_runs), B.ANSWER)
     runs = by_block.cogroup(first.groupBy("block")).applyInArrow(candidates(n), B.RUN)

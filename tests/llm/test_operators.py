@@ -67,11 +67,11 @@ def covered(seqs, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_suffix_dedup(docs, rows, hot):
+@pytest.mark.parametrize("hot,block", [(2048, 6 << 20), (2, 5000), (3, 40_000)])
+def test_suffix_dedup(docs, rows, hot, block):
     texts = {i: (t or "").encode() for i, t, *_ in rows}
     gone = covered(texts, 50)
-    got = collected(suffixes.remove_repeats(docs, hot_runs=hot))
+    got = collected(suffixes.remove_repeats(docs, hot_runs=hot, block_bytes=block))
     assert set(got) == set(texts)
     for i, t in texts.items():
         kept = bytes(b for b, g in zip(t, gone[i]) if not g)
@@ -101,15 +101,42 @@ def test_loser_tree_merges_and_knows_prefixes():
     assert out == sorted(x for run in runs for x in run)
 
 
-def test_substring_dedup(docs, rows):
+def test_pieces_give_the_same_anchors(rows, monkeypatch):
+    table = pa.table({"block": pa.array([0] * len(rows)), "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    made = []
+    for piece, n in ((3 << 19, 1 << 17), (777, 50)):
+        monkeypatch.setattr(blocks, "PIECE_BYTES", piece)
+        monkeypatch.setattr(suffixes, "ROWS", n)
+        s = suffixes.Suffixes(table)
+        for code in (1, 2):
+            s.items(np.full(len(s.distinct), code, np.uint8), 5)
+            cover = np.zeros(len(s.buf) + 1, int)
+            for p, lo, hi in zip(s.ip, s.ilo, s.ihi):
+                cover[p - hi : p - lo + 1] += 1
+            made.append((cover.tolist(), {(bytes(x), int(q)) for x, q in zip(s.rows, s.q)} if code == 2 else None))
+        w = cover.Words(table)
+        made.append((w.h.tolist(), w.anchor_hash.tolist()))
+    assert made[0][0] == made[3][0] and made[1] == made[4] and made[2] == made[5]
+
+
+@pytest.mark.parametrize("block", [6 << 20, 5000])
+def test_substring_dedup(docs, rows, block):
     texts = {i: (t or "").encode().split() for i, t, *_ in rows}
     gone = covered(texts, 13)
-    got = collected(cover.remove_repeats(docs))
+    got = collected(cover.remove_repeats(docs, block_bytes=block))
     for i, w in texts.items():
         kept = b" ".join(x for x, g in zip(w, gone[i]) if not g)
         assert (got[i].n_words, got[i].n_removed, got[i].kept.encode(), got[i].kept_sha256) == (len(w), sum(gone[i]), kept, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeated_rows_fill_no_block(spark, tmp_path):
+    spark.createDataFrame([(None, "same words here")] * 2000, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    parts, _ = blocks.in_blocks(spark.read.parquet(f"{tmp_path}/d"), 3000)
+    assert 5 < max(r["count"] for r in parts.groupBy("block").count().collect()) < 500
+    mixed = blocks.in_blocks(spark.read.parquet(f"{tmp_path}/d").distinct())[0]  # out of a shuffle: written first
+    assert mixed.count() == 1 and "Exchange" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_difference_is_covered():
     assert {(a - b) % cover.PERIOD for a in cover.COVER for b in cover.COVER} == set(range(cover.PERIOD))
 
