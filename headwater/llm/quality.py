@@ -1,9 +1,11 @@
 """Quality rules with thresholds that follow each language and source, by DataFrame functions only.
 
 Each document's ratios fall into logarithmic bins (a relative width of BIN). Counts of bins by language and source
-are a quantile sketch that merges by addition: partial sums before the shuffle, sums of groups for a language where
-a group is small. Cut-offs lie FENCE interquartile ranges above the upper quartile (or below the lower one), and
-never inside a fixed margin that ordinary text stays in, so that a clean group loses nothing.
+are a quantile sketch that merges by addition: partial sums before the shuffle, then sums of sketches. A language's
+sketch is merged with PRIOR documents that lie as the whole corpus does, and a pair's with PRIOR that lie as its
+language's do, so that small groups lean on larger ones and no size changes the way. Cut-offs lie FENCE interquartile
+ranges above the upper quartile (or below the lower one), or, where quartiles fall together, a share SPREAD of the
+median of all documents that have any of the measure.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from headwater.llm.common import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
 GRAM = 8
-BIN, FENCE = 0.02, 3.0
-#: Documents that a group must have for cut-offs of its own.
-GROUP_DOCS = 50
-#: Measure, side, and the margin that no cut-off lies inside of.
-RULES = (("symbol_ratio", 1, 0.1), ("dup_line_ratio", 1, 0.3), ("mean_word", 1, 12.0), ("mean_word", -1, 2.5))
+BIN, FENCE, SPREAD = 0.02, 3.0, 0.25
+#: Documents of the larger group that each group's sketch is merged with.
+PRIOR = 50
+#: Symbols, and repeated lines, that a text of any length may have.
+FREE = 2
+#: Measure and side.
+RULES = (("symbol_ratio", 1), ("dup_line_ratio", 1), ("mean_word", 1), ("mean_word", -1))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -57,54 +61,61 @@ def base_failed() -> Column:
 
 def ratios() -> dict[str, Column]:
     n = F.greatest(F.col("__n_words"), F.lit(1))
+    beyond = lambda c: F.greatest(F.col(c) - FREE, F.lit(0))
     return {
-        "symbol_ratio": F.col("__n_symbols") / n,
-        "dup_line_ratio": F.col("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
+        "symbol_ratio": beyond("__n_symbols") / n,
+        "dup_line_ratio": beyond("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
         "mean_word": F.col("__word_chars") / n,
     }
 
 
 def cutoffs(rows: DataFrame) -> DataFrame:
-    """Cut-offs by language and source from rows (lang, source and the measures): one row for each pair.
-
-    A pair of under GROUP_DOCS documents takes its language's sketch, the sum of its sources'.
-    """
-    step = math.log1p(BIN)
-    bins = [F.struct(F.lit(m).alias("measure"), F.when(x > 0, F.ceil(F.log(x) / step)).otherwise(-10_000).cast("int").alias("bin")) for m, x in ratios().items()]
-    sketch = rows.select("lang", "source", F.explode(F.array(*bins)).alias("b")).groupBy("lang", "source", "b.measure", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+    """Cut-offs by language and source from rows (lang, source and the measures): one row for each pair."""
+    step, zero = math.log1p(BIN), -10_000
+    bins = [F.struct(F.lit(m).alias("measure"), F.when(x > 0, F.ceil(F.log(x) / step)).otherwise(zero).cast("int").alias("bin")) for m, x in ratios().items()]
+    sketch = rows.select("lang", "source", F.explode(F.array(*bins)).alias("b")).groupBy("lang", "source", "b.measure", "b.bin").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
     sketch = materialize(sketch, "sketch")  # some hundred rows for each pair
+    whole = "decimal(38,0)"
+    value = F.when(F.col("bin") == zero, 0.0).otherwise(F.exp(F.col("bin") * step))
 
-    def quartiles(by: list[str], counts: DataFrame) -> DataFrame:
-        every = Window.partitionBy(*by, "measure")
+    def quartiles(by: list[str], counts: DataFrame, shares: dict[str, float]) -> DataFrame:
+        every = Window.partitionBy(*by)
         upto = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.select(*by, "measure", "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(every).alias("docs"))
-        value = F.when(F.col("bin") == -10_000, 0.0).otherwise(F.exp(F.col("bin") * step))
-        q = lambda share: F.min(F.when(F.col("upto") >= share * F.col("docs"), value))
-        cells = ranked.groupBy(*by, "measure").agg(q(0.25).alias("lo"), q(0.75).alias("hi"), F.max("docs").alias("docs"))
-        cuts = []
-        for k, (m, side, margin) in enumerate(RULES):
-            spread = FENCE * (F.col("hi") - F.col("lo"))
-            fence = F.greatest(F.lit(margin), F.col("hi") + spread) if side > 0 else F.least(F.lit(margin), F.col("lo") - spread)
-            cuts.append(F.max(F.when(F.col("measure") == m, fence)).alias(f"cut{k}"))
-        return cells.groupBy(*by).agg(*cuts, F.max("docs").alias("docs"))
-
-    pair = quartiles(["lang", "source"], sketch)
-    lang = quartiles(["lang"], sketch.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")))
-    wide = lang.select(F.col("lang").alias("l"), *(F.col(f"cut{k}").alias(f"wide{k}") for k in range(len(RULES))))
-    both = pair.join(wide, pair["lang"].eqNullSafe(wide["l"]))
-    return both.select("lang", "source", *(F.when(F.col("docs") >= GROUP_DOCS, F.col(f"cut{k}")).otherwise(F.col(f"wide{k}")).alias(f"__cut{k}") for k in range(len(RULES))))
+        ranked = counts.select(*by, "bin", F.sum("n").over(upto).alias("upto"), F.sum("n").over(every).alias("total"))
+        return ranked.groupBy(*by).agg(*(F.min(F.when(100 * F.col("upto") >= round(100 * share) * F.col("total"), value)).alias(name) for name, share in shares.items()))
+
+    def merged(by: list[str], own: DataFrame, prior: DataFrame, on: list[str]) -> DataFrame:
+        """own with PRIOR documents that lie as prior's do. Counts are whole numbers: all are multiplied by prior's total."""
+        total = prior.groupBy(*on).agg(F.sum("n").cast(whole).alias("of"))
+        groups = own.select(*by).distinct()
+        theirs = prior.join(total, on).select(*on, "bin", "of", (F.col("n") * PRIOR).cast(whole).alias("lent"))
+        both = groups.join(theirs, on).join(own, [*by, "bin"], "left")
+        return both.select(*by, "bin", (F.coalesce("n", F.lit(0).cast(whole)) * F.col("of") + F.col("lent")).cast(whole).alias("n"))
+
+    # null languages and sources are groups like any other; a key that is never null joins them
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    pairs = sketch.select(key("lang").alias("l"), key("source").alias("s"), "measure", "bin", "n")
+    langs = pairs.groupBy("l", "measure", "bin").agg(F.sum("n").cast(whole).alias("n"))
+    corpus = pairs.groupBy("measure", "bin").agg(F.sum("n").cast(whole).alias("n"))
+    langs = merged(["l", "measure"], langs, corpus, ["measure"])
+    pairs = merged(["l", "s", "measure"], pairs, langs, ["l", "measure"])
+    cells = quartiles(["l", "s", "measure"], pairs, {"lo": 0.25, "hi": 0.75})
+    middle = quartiles(["measure"], corpus.filter(F.col("bin") > zero), {"middle": 0.5})
+    cells = cells.join(F.broadcast(middle), "measure", "left")  # a row for each measure
+    cuts = []
+    for k, (m, side) in enumerate(RULES):
+        spread = F.greatest(FENCE * (F.col("hi") - F.col("lo")), SPREAD * F.coalesce("middle", F.lit(0.0)))
+        cuts.append(F.max(F.when(F.col("measure") == m, F.col("hi") + spread if side > 0 else F.col("lo") - spread)).alias(f"__cut{k}"))
+    return cells.groupBy("l", "s").agg(*cuts)
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """rows (from measured) joined with their group's cut-offs; adds __base_failed and __kept."""
-    cuts = cutoffs(rows)
-    # hashes of both keys, so that null languages and sources join as well
-    key = lambda: F.xxhash64(F.col("lang"), F.col("source"), F.col("lang").isNull(), F.col("source").isNull())
-    cuts = cuts.select(key().alias("__key"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"__cut{k}" for k in range(len(RULES))))
-    on = (F.col("__group") == F.col("__key")) & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = rows.withColumn("__group", key()).join(cuts, on, "left")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    cuts = cutoffs(rows).select(F.col("l").alias("__l"), F.col("s").alias("__s"), *(f"__cut{k}" for k in range(len(RULES))))
+    joined = rows.join(cuts, (key("lang") == F.col("__l")) & (key("source") == F.col("__s")), "left")
     measures, out = ratios(), F.lit(False)
-    for k, (m, side, _) in enumerate(RULES):
+    for k, (m, side) in enumerate(RULES):
         beyond = measures[m] > F.col(f"__cut{k}") if side > 0 else measures[m] < F.col(f"__cut{k}")
         out = out | F.coalesce(beyond, F.lit(False))
     return joined.withColumn("__base_failed", base_failed()).withColumn("__kept", ~F.col("__base_failed") & ~out)
@@ -125,8 +136,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept."""
-    return judged(materialize(measured(docs), "measures")).filter("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, with all their columns (but for those named as `measured` names its own), that are kept."""
+    own = [f"`{c}`" for c in docs.columns]
+    return judged(materialize(measured(docs), "measures")).filter("__kept").select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -141,16 +153,16 @@ twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM win JOIN twice USING (doc_id, k), range(8) AS r(j) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM d LEFT JOIN rep USING (doc_id)),
-r AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, word_chars / greatest(n_words, 1) AS mean_word FROM m),
+r AS (SELECT *, greatest(n_symbols - 2, 0) / greatest(n_words, 1) AS symbol_ratio, greatest(n_dup_lines - 2, 0) / greatest(n_lines, 1) AS dup_line_ratio, word_chars / greatest(n_words, 1) AS mean_word FROM m),
 b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln(1.02::DOUBLE)) ELSE -10000 END AS bin FROM (UNPIVOT (SELECT lang, source, symbol_ratio, dup_line_ratio, mean_word FROM r) ON symbol_ratio, dup_line_ratio, mean_word INTO NAME measure VALUE x)),
-g AS (SELECT lang, source, measure, bin, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT lang, NULL, measure, bin, count(*) FROM b GROUP BY ALL),
-q AS (SELECT lang, source, measure, bin, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS docs FROM g),
-c AS (SELECT lang, source, measure, max(docs) AS docs, min(CASE WHEN upto >= 0.25 * docs THEN v END) AS lo, min(CASE WHEN upto >= 0.75 * docs THEN v END) AS hi
-  FROM (SELECT *, CASE WHEN bin = -10000 THEN 0 ELSE exp(bin * ln(1.02::DOUBLE)) END AS v FROM q) GROUP BY ALL),
-f AS (SELECT lang, source, max(docs) AS docs, max(CASE WHEN measure = 'symbol_ratio' THEN greatest(0.1, hi + 3 * (hi - lo)) END) AS c0, max(CASE WHEN measure = 'dup_line_ratio' THEN greatest(0.3, hi + 3 * (hi - lo)) END) AS c1,
-  max(CASE WHEN measure = 'mean_word' THEN greatest(12, hi + 3 * (hi - lo)) END) AS c2, max(CASE WHEN measure = 'mean_word' THEN least(2.5, lo - 3 * (hi - lo)) END) AS c3 FROM c GROUP BY ALL),
-x AS (SELECT p.lang, p.source, CASE WHEN p.docs >= 50 THEN p.c0 ELSE l.c0 END AS c0, CASE WHEN p.docs >= 50 THEN p.c1 ELSE l.c1 END AS c1, CASE WHEN p.docs >= 50 THEN p.c2 ELSE l.c2 END AS c2, CASE WHEN p.docs >= 50 THEN p.c3 ELSE l.c3 END AS c3
-  FROM f p JOIN f l ON p.lang = l.lang AND p.source IS NOT NULL AND l.source IS NULL)
+p AS (SELECT lang, source, measure, bin, count(*)::HUGEINT AS n FROM b GROUP BY ALL), l AS (SELECT lang, measure, bin, sum(n) AS n FROM p GROUP BY ALL), c AS (SELECT measure, bin, sum(n) AS n FROM p GROUP BY ALL),
+l2 AS (SELECT lang, measure, c.bin, coalesce(l.n, 0) * t.n + 50 * c.n AS n FROM (SELECT DISTINCT lang, measure FROM l) JOIN c USING (measure) JOIN (SELECT measure, sum(n) AS n FROM c GROUP BY ALL) t USING (measure) LEFT JOIN l USING (lang, measure, bin)),
+p2 AS (SELECT lang, source, measure, l2.bin, coalesce(p.n, 0) * t.n + 50 * l2.n AS n FROM (SELECT DISTINCT lang, source, measure FROM p) JOIN l2 USING (lang, measure) JOIN (SELECT lang, measure, sum(n) AS n FROM l2 GROUP BY ALL) t USING (lang, measure) LEFT JOIN p USING (lang, source, measure, bin)),
+v AS (SELECT *, CASE WHEN bin = -10000 THEN 0 ELSE exp(bin * ln(1.02::DOUBLE)) END AS v, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM p2),
+w AS (SELECT measure, exp(bin * ln(1.02::DOUBLE)) AS v, sum(n) OVER (PARTITION BY measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY measure) AS total FROM c WHERE bin > -10000),
+q AS (SELECT lang, source, measure, min(CASE WHEN 100 * upto >= 25 * total THEN v END) AS lo, min(CASE WHEN 100 * upto >= 75 * total THEN v END) AS hi FROM v GROUP BY ALL),
+f AS (SELECT *, greatest(3 * (hi - lo), 0.25 * coalesce(middle, 0)) AS spread FROM q LEFT JOIN (SELECT measure, min(v) AS middle FROM w WHERE 100 * upto >= 50 * total GROUP BY ALL) USING (measure)),
+x AS (SELECT lang, source, max(CASE WHEN measure = 'symbol_ratio' THEN hi + spread END) AS c0, max(CASE WHEN measure = 'dup_line_ratio' THEN hi + spread END) AS c1, max(CASE WHEN measure = 'mean_word' THEN hi + spread END) AS c2, max(CASE WHEN measure = 'mean_word' THEN lo - spread END) AS c3 FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (symbol_ratio > c0 OR dup_line_ratio > c1 OR mean_word > c2 OR mean_word < c3) AS kept
 FROM r JOIN x USING (lang, source)
