@@ -16,6 +16,8 @@ GRAM = 3
 DRIFT, SHARE = 4, 0.7
 #: Bytes of templates that may go to every task.
 TEMPLATE_BYTES = 1 << 20
+#: Repeated rows that are given back from one array.
+COPIES = 4096
 
 # Phrases of the contract (words, label), and notices as they are commonly written.
 PHRASES = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -68,40 +70,48 @@ def scan(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFra
     (places where a base phrase stands), first_word and last_word (their least and greatest start, else null),
     base_labels and labels (those of phrases; these and the method's; distinct, sorted, comma-joined) and score (1
     with a phrase, else the greatest share of a template's 3-word runs that a merged diagonal has). A null or empty
-    text has no words. Phrases of under three words are not searched for. Rows with equal doc_id and text are one
-    document and give one row; a document of any length votes in sums, never in lists.
+    text has no words. Phrases of under three words are not searched for. Repeated rows (of equal doc_id and text) are
+    scanned together and give a row each; a document of any length votes in sums, never in lists.
     """
     own = templates.select("id", "label", "phrase", words(F.col("text")).alias("t_words"))
-    table = own.select("*", F.posexplode(grams("t_words")).alias("t_at", "gram"))
-    size = own.select(F.coalesce(F.sum(F.size("t_words")), F.lit(0)).alias("n")).first()["n"]
-    if 64 * size <= TEMPLATE_BYTES:
+    facts = own.agg(F.coalesce(F.sum(F.size("t_words")), F.lit(0)).alias("n"), F.max(F.when(F.col("phrase"), F.size("t_words"))).alias("most")).first()
+    most = max(GRAM, facts["most"] or 0)  # words that a place is compared by
+    here = F.slice("t_words", F.col("t_at") + 1, F.when(F.col("phrase"), F.size("t_words")).otherwise(GRAM))
+    table = own.select("*", F.posexplode(grams("t_words")).alias("t_at", "gram")).filter("NOT phrase OR t_at = 0")
+    table = table.select("id", "label", "phrase", F.size("t_words").alias("t_size"), "t_at", "gram", here.alias("t_here"))
+    if 64 * facts["n"] <= TEMPLATE_BYTES:
         table = F.broadcast(table)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    # place -1 has no gram: it carries the document itself
-    each = base.select("doc_id", "text_hash", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), grams("words"))).alias("at1", "gram"))
-    each = each.withColumn("at", F.col("at1") - 1)
-    joined = each.join(table, "gram", "left").filter("at = -1 OR id IS NOT NULL")
-    first = F.greatest(F.col("at"), F.lit(0)) + 1
-    here = F.slice("words", first, F.size("t_words"))
+    n = F.size("words")
+    # a place has its own few words, never its document's; place -1 stands for the document itself
+    place = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram"), F.slice("words", i + 1, most).alias("here"))
+    itself = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("gram"), F.array().cast("array<string>").alias("here"))
+    places = F.when(n >= GRAM, F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), n - GRAM), place))).otherwise(F.array(itself))
+    each = base.select("doc_id", "text_hash", n.alias("n"), F.explode(places).alias("x")).select("doc_id", "text_hash", "n", "x.at", "x.gram", "x.here")
+    joined = each.withColumn("spread", F.when(F.col("at") == -1, F.col("text_hash")).otherwise(F.col("gram"))).join(
+        table.withColumnRenamed("gram", "t_gram"), (F.col("spread") == F.col("t_gram")) & (F.col("at") >= 0), "left"
+    ).filter("at = -1 OR id IS NOT NULL")
+    # verified: the words themselves, not their hash
+    same = F.slice("here", 1, F.size("t_here")) == F.col("t_here")
     votes = joined.select(
         "doc_id",
         "text_hash",
-        F.when(F.col("at") == -1, F.size("words")).alias("n"),
+        F.when(F.col("at") == -1, F.col("n")).alias("n"),
         "id",
         "label",
         "phrase",
         "at",
         "t_at",
-        F.when(F.col("phrase") & (F.col("t_at") == 0) & (here == F.col("t_words")), F.col("at")).alias("base_at"),
-        # verified: the three words themselves, not their hash
-        F.when(~F.col("phrase") & (F.slice("words", first, GRAM) == F.slice("t_words", F.col("t_at") + 1, GRAM)), F.col("at") - F.col("t_at")).alias("diagonal"),
-        (F.size("t_words") - (GRAM - 1)).alias("runs"),
+        F.when(F.col("phrase") & same, F.col("at")).alias("base_at"),
+        F.when(~F.col("phrase") & same, F.col("at") - F.col("t_at")).alias("diagonal"),
+        (F.col("t_size") - (GRAM - 1)).alias("runs"),
     )
     # two staggered bands of diagonals, so that neighbours share one of them
     bands = F.array(F.floor(F.col("diagonal") / (2 * DRIFT)), F.floor((F.col("diagonal") + DRIFT) / (2 * DRIFT)))
     banded = votes.select("*", F.posexplode_outer(F.when(F.col("diagonal").isNotNull(), bands)).alias("shift", "band"))
     spans = banded.groupBy("doc_id", "text_hash", "id", "label", "phrase", "runs", "shift", "band").agg(
         F.max("n").alias("n"),
+        F.count("n").alias("copies"),
         F.count("base_at").alias("n_base"),
         F.min("base_at").alias("first_word"),
         F.max("base_at").alias("last_word"),
@@ -110,6 +120,7 @@ def scan(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFra
     covered = F.when(F.col("band").isNotNull(), F.col("t_seen") / F.col("runs"))
     found = spans.groupBy("doc_id", "text_hash").agg(
         F.max("n").cast("long").alias("n_words"),
+        F.sum("copies").alias("copies"),
         F.sum("n_base").cast("long").alias("n_base"),
         F.min("first_word").cast("long").alias("first_word"),
         F.max("last_word").cast("long").alias("last_word"),
@@ -117,10 +128,13 @@ def scan(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFra
         F.collect_set(F.when((F.col("n_base") > 0) | (covered >= share), F.col("label"))).alias("every"),
         F.coalesce(F.max(covered), F.lit(0.0)).alias("best"),
     )
-    return found.select(
+    # a row for each of the repeated rows, by way of short arrays
+    rows = found.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    rows = rows.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("some") * COPIES))))
+    return rows.select(
         "doc_id",
         "n_words",
-        "n_base",
+        F.floor(F.col("n_base") / F.col("copies")).alias("n_base"),
         "first_word",
         "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),

@@ -336,18 +336,34 @@ def test_url_filter(spark):
 def test_license_scan(spark):
     texts = ["Released under the MIT License. the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0, ccby nc", "plain words only here", "", None, "the mıt lİcense K", "This work is licensed under the GNU General Public License, version 3.", "the mit"]
     d = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").withColumn("words", F.lit(1))
-    got = {r.doc_id: r for r in licenses.scan(d, licenses.template_table(spark)).collect()}
-    assert len(got) == len(texts)
+    rows = licenses.scan(d, licenses.template_table(spark)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(texts) and sorted(r.doc_id for r in rows) == sorted([*range(len(texts)), 0]) and all(r == got[r.doc_id] for r in rows)
     for i, t in enumerate(texts):
         w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         at = [(k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         r = got[i]
-        assert r.n_words == len(w) and r.n_base == len(at) * (2 if i == 0 else 1)  # document 0 is there twice
+        assert r.n_words == len(w) and r.n_base == len(at)
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in at}))
     assert got[7].labels == "gpl-3" and got[7].score >= 0.7 and got[3].labels == "" and got[0].score == 1.0
 
 
+def test_license_scan_joins_large_templates(spark, monkeypatch):
+    texts = ["Released under the MIT License. the mit license", "plain words only here", None, "the mit license " * 3000]
+    d = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])] * 5, "doc_id long, text string")
+    small = sorted(map(tuple, licenses.scan(d, licenses.template_table(spark)).collect()), key=str)
+    monkeypatch.setattr(licenses, "TEMPLATE_BYTES", 0)
+    monkeypatch.setattr(licenses, "COPIES", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = licenses.scan(d, licenses.template_table(spark))
+        assert sorted(map(tuple, large.collect()), key=str) == small and len(small) == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_quality_rules(docs, rows):
     got = collected(quality.scores(docs))
     for i, t, *_ in rows:
@@ -370,6 +386,15 @@ def test_quality_cutoffs_follow_the_group(spark):
     assert [i for i, r in got.items() if not r.kept] == list(range(100, 105))
 
 
+def test_quality_cutoffs_lean_on_larger_groups(spark):
+    """A source that is mostly junk takes its language's cut-offs as far as it is small; no size changes the way."""
+    plain = " ".join(f"word{k}" for k in range(40))
+    junk = " ".join(f"{w}##" for w in plain.split())
+    rows = [(i, plain, "en", "a") for i in range(400)] + [(400 + i, junk, "en", "b") for i in range(12)] + [(500, junk, "xx", "c"), (501, plain, None, None)]
+    got = collected(quality.scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert {i for i, r in got.items() if not r.kept} == {*range(400, 412), 500}
+
+
 def test_secret_scan(spark, docs, rows):
     r = random.Random(1)
     key = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghij0123456789") for _ in range(36))
