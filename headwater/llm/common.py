@@ -17,12 +17,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all tasks
+    run in the driver (tests); elsewhere a missing setting is an error.
+    """
     sc = spark.sparkContext
     app = sc.applicationId
     if app not in _OWN:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="headwater-")
         _OWN[app] = f"{base.rstrip('/')}/{app}"
         ref = weakref.ref(sc)

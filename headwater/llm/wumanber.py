@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from headwater.llm.common import byte_values, materialize
 
 WINDOW, BLOCK = 10, 3
-#: Bytes of benchmark text that are searched for at once. A larger benchmark is searched for in portions.
-PORTION_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched for at once: some 200,000 patterns, whose tables take some 200 MB in each
+#: worker. A larger benchmark is searched for in portions.
+PORTION_BYTES = 1 << 20
 #: Lower-cases A-Z, keeps a-z, 0-9 and all bytes above ASCII, makes the rest white space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -71,39 +72,69 @@ def searches(items: Iterable[tuple[object, str | None]]) -> list[Search]:
     return [Search(n, p) for n, p in sorted(patterns.items(), reverse=True)]
 
 
+def portions(benchmark: DataFrame, portion_bytes: int) -> Iterator[list[Search]]:
+    """The searches of each portion of the benchmark, at least one; items are dealt by id and text."""
+    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, math.ceil(total / portion_bytes))
+    for k in range(n):
+        yield searches(tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator())
+
+
+MARKS = "key long, doc_id long, n_words long, hits binary, items array<string>"
+
+
 def marks(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PORTION_BYTES) -> DataFrame:
-    """docs and the columns __hits (binary, a byte for each word: 1 if hit) and __items (array of item ids as strings).
+    """doc_id, n_words, hits (a byte for each word: 1 if hit) and items (sorted ids as strings): one row per row of docs.
 
-    The tables of one portion go to the executors; the benchmark's size is taken first and gives the number of
-    portions. Each further portion takes up the marks that the last one has written.
+    A benchmark of several portions is searched for in as many passes over the texts. From the second on, a pass writes
+    the marks of the documents that it has found something in; these are put together by the row's number.
     """
     spark = docs.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    portions = max(1, math.ceil(total / portion_bytes))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(portions))
-    plain = [f for f in docs.schema.fields if f.name not in ("__hits", "__items")]
-    out = docs.select(*[f"`{f.name}`" for f in plain], F.lit(None).cast("binary").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
-    for k in range(portions):
-        own = spark.sparkContext.broadcast(searches(tests.filter(part == k).toLocalIterator()))
-
-        def scan(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    made: list[DataFrame] = []
+    tables = portions(benchmark, portion_bytes)
+    one, more = next(tables), next(tables, None)
+    if more is not None:
+        keyed = materialize(keyed, "keyed")
+    while one is not None:
+        own = spark.sparkContext.broadcast(one)
+
+        def scan(batches: Iterator[pa.RecordBatch], own=own, every=not made) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits, items = [], []
-                for text, old, had in zip(byte_values(batch["text"]), batch["__hits"].to_pylist(), batch["__items"].to_pylist()):
+                at, n, hits, items = [], [], [], []
+                for i, text in enumerate(byte_values(batch["text"])):
                     w = words(text)
-                    hit, of = bytearray(old or bytes(len(w))), set(had or ())
+                    hit, of = bytearray(len(w)), set()
                     for s in own.value:
                         s.find(w, hit, of)
-                    hits.append(bytes(hit))
-                    items.append(sorted(of))
-                cols = [batch.column(i) for i in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
-
-        if k:
-            out = materialize(out, "marks")
-        out = out.mapInArrow(scan, out.schema)
-    return out
+                    if every or of:
+                        at.append(i)
+                        n.append(len(w))
+                        hits.append(bytes(hit))
+                        items.append(sorted(of))
+                rows = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["key"].take(rows), batch["doc_id"].take(rows), pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["key", "doc_id", "n_words", "hits", "items"])
+
+        made.append(keyed.mapInArrow(scan, MARKS))
+        if more is not None or len(made) > 1:
+            made[-1] = materialize(made[-1], "marks")
+        one, more = more, next(tables, None) if more is not None else None
+    if len(made) == 1:
+        return made[0].drop("key")
+
+    def put_together(table: pa.Table) -> pa.Table:
+        hits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in byte_values(table["hits"])])
+        items = sorted({x for own in table["items"].to_pylist() for x in own})
+        first = {c: table[c].slice(0, 1) for c in ("key", "doc_id", "n_words")}
+        return pa.table(first | {"hits": pa.array([hits.tobytes()], pa.binary()), "items": pa.array([items], pa.list_(pa.string()))})
+
+    later = made[1]
+    for x in made[2:]:
+        later = later.unionAll(x)
+    again = later.select("key").distinct()
+    both = made[0].join(again, "key", "left_semi").unionAll(later).groupBy("key").applyInArrow(put_together, MARKS)
+    return made[0].join(again, "key", "left_anti").unionAll(both).drop("key")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PORTION_BYTES) -> DataFrame:
@@ -118,26 +149,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PO
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = byte_values(batch["__hits"])
-            items = batch["__items"].to_pylist()
+            hits = byte_values(batch["hits"])
+            items = batch["items"].to_pylist()
             n = np.array([x.count(1) for x in hits], np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"],
-                pa.array([len(x) for x in hits], pa.int64()),
+                batch["n_words"],
                 pa.array(n),
                 pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                 pa.array(n > 0),
             ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return marks(docs.select("doc_id", "text"), benchmark, portion_bytes).select("doc_id", "__hits", "__items").mapInArrow(digest, OUT)
+    return marks(docs, benchmark, portion_bytes).mapInArrow(digest, OUT)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PORTION_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs. Each portion sifts what is left."""
+    for tables in portions(benchmark, portion_bytes):
+        own = docs.sparkSession.sparkContext.broadcast(tables)
 
+        def sift(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = []
+                for text in byte_values(batch["text"]):
+                    w, of = words(text), set()
+                    hit = bytearray(len(w))
+                    for s in own.value:
+                        s.find(w, hit, of)
+                    kept.append(not of)
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no benchmark window occurs."""
-    columns = [f"`{c}`" for c in docs.columns]
-    renamed = docs.select(*columns)
-    return marks(renamed, benchmark).filter(F.size("__items") == 0).select(*columns)
+        docs = docs.mapInArrow(sift, docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:
