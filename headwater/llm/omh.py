@@ -38,7 +38,9 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 20
 #: Documents of a bucket that one task compares with as many others.
 BUCKET_DOCS = 4096
 #: Pairs of one document with one other class that are aligned in the first round.
-FIRST_PAIRS = 32
+FIRST_PAIRS = 512
+#: Edges that one task closes to classes; beyond, labels are passed on from node to node.
+TASK_EDGES = 1 << 20
 #: Members of a leader that are aligned in one task's group.
 GROUP = 64
 #: Shingles from which a text's sketches are taken one after the other.
@@ -314,8 +316,10 @@ def links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return materialize(near, "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """node and label (the least node of its component) of undirected edges (leader, member); empty without edges."""
+    if edges.limit(task_edges + 1).count() <= task_edges:
+        return materialize(edges.coalesce(1).mapInArrow(closed, "node long, label long"), "labels")
     both = edges.select(F.col("leader").alias("a"), F.col("member").alias("b"))
     both = materialize(both.unionAll(both.select("b", "a")), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
@@ -329,6 +333,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges of a task."""
+    edges = [np.stack([batch["leader"].to_numpy(), batch["member"].to_numpy()]) for batch in batches]
+    if edges:
+        nodes, at = np.unique(np.concatenate(edges, axis=1), return_inverse=True)
+        classes = Union(len(nodes))
+        for x, y in at.reshape(2, -1).T.tolist():
+            x, y = classes.root(x), classes.root(y)
+            if x != y:
+                classes.link(x, y)
+        label = nodes[[classes.root(i) for i in range(len(nodes))]]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(label, pa.int64())], names=["node", "label"])
+
+
 def candidates(single: DataFrame, common: int) -> DataFrame:
     """doc, n_shingles, sketches, kept (its rarest shared buckets with their sketch's number) and their mask.
 

@@ -220,6 +220,19 @@ def test_links_along_chains(spark):
     assert len(pairs) > 290 and all(got[i] == got[j] for i, j in pairs)
 
 
+def test_components_by_either_way(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 330)]
+    e = spark.createDataFrame(edges, "leader long, member long")
+    top = {x: x for p in edges for x in p}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    for bound in (1000, 5):
+        assert {x.node: x.label for x in omh.components(e, bound).collect()} == top
+    assert not omh.components(e.filter("false"), 1000).count()
+
+
 def test_one_row_of_each_class_stays(spark):
     base = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
     rows = [(3, base[0], 1), (3, base[0], 2), (5, base[0] + " end", 3), (None, base[0], 4), (None, base[1], 5), (None, base[1].upper(), 6), (None, "", 7), (None, None, 8), (6, "", 9), (7, None, 10), (8, base[2], 11)]
