@@ -126,7 +126,11 @@ def frequency_factor_derivative(skew: float, aep: float, h: float = 1e-4) -> flo
 
 @F.pandas_udf(T.DoubleType())
 def _k_factor(skew: pd.Series, aep: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(s) or pd.isna(a) else frequency_factor(float(s), float(a)) for s, a in zip(skew, aep)], dtype="float64")
+    """Distinct pairs of a batch are solved once each: moments have few skews, and a table few probabilities."""
+    pairs = pd.DataFrame({"s": skew, "a": aep})
+    known = pairs.dropna().drop_duplicates()
+    known["k"] = [frequency_factor(s, a) for s, a in zip(known["s"].astype(float), known["a"].astype(float))]
+    return pairs.merge(known, on=["s", "a"], how="left")["k"]
 
 
 def k_factor(skew, aep):
@@ -193,6 +197,13 @@ def t_quantile(p: float, df: float) -> float:
     return t if p > 0.5 else -t
 
 
+@F.pandas_udf(T.DoubleType())
+def t_deviate(p: pd.Series, df: pd.Series) -> pd.Series:
+    """Student's t quantile of columns of probabilities and degrees of freedom."""
+    found = {x: t_quantile(*x) for x in set(zip(p, df)) if not (pd.isna(x[0]) or pd.isna(x[1])) and x[1] > 0}
+    return pd.Series([found.get(x) for x in zip(p, df)], dtype="float64")
+
+
 # ---- trend tests ---------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ A network's matrices have a row for each gage, some hundred; daily rows only ent
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,25 +98,59 @@ def fit_gls(rows: DataFrame, predictors: tuple[str, ...], rho: float = 0.0) -> D
     return rows.groupBy("region").applyInPandas(run, "region string, term string, coef double, se double, model_variance double, sep_pct double, n long")
 
 
-def regional_skew(rows: DataFrame, prior: float = 10.0) -> DataFrame:
-    """Constant regional skew of each region from station skews (region, site, skew, n): unbiased skews, and a posterior
-    of the model-error variance on a grid with an exponential prior."""
+def skew_sampling_variance(n: np.ndarray, skew: np.ndarray) -> np.ndarray:
+    """Variance of the unbiased sample skew of n years. The numbers are fixed values of the published approximation."""
+    a = -17.75 / n**2 + 50.06 / n**3
+    b = 3.92 / n**0.3 - 31.10 / n**0.6 + 34.86 / n**0.9
+    c = -7.31 / n**0.59 + 45.90 / n**1.18 - 86.50 / n**1.77
+    return (1 + 6 / n) ** 2 * (6 / n + a) * (1 + (1.5 + b) * skew**2 + (0.3125 + c) * skew**4)
+
+
+def regional_skew(rows: DataFrame, predictors: tuple[str, ...] = (), correlation: float = 0.0, prior: float = 10.0) -> DataFrame:
+    """Regional skew model of each region: rows of region, site, skew, n (record length) and predictors.
+
+    Unbiased skews; their variances at the ordinary least-squares skew. Coefficients by weighted least squares at the
+    posterior mean of the model-error variance (exponential prior, coefficients integrated out); the variance then by
+    generalised least squares given them, with one correlation between sites. One row for each term: its coefficient
+    and standard error, the region's model variance, mean variance of prediction and effective record length.
+    """
+    names = ["constant", *predictors]
+
+    def posterior(log: np.ndarray, grid: np.ndarray) -> float:
+        w = np.exp(log - log.max()) * np.gradient(grid)
+        return float((w * grid).sum() / w.sum())
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.dropna()
-        n = part["n"].to_numpy(float)
-        g = (1 + 6 / n) * part["skew"].to_numpy(float)
-        v = (6 / n + 10 / n**2) * (1 + 1.5 * np.clip(g.mean(), -1, 1) ** 2)
-        grid = np.linspace(0, 2, 801)
-        w = 1 / (v[:, None] + grid[None, :])
-        mean = (w * g[:, None]).sum(axis=0) / w.sum(axis=0)
-        log = 0.5 * np.log(w).sum(axis=0) - 0.5 * np.log(w.sum(axis=0)) - 0.5 * (w * (g[:, None] - mean) ** 2).sum(axis=0) - prior * grid
-        p = np.exp(log - log.max())
-        p /= p.sum()
-        s2 = float((p * grid).sum())
-        return pd.DataFrame({"region": [part["region"].iloc[0]], "skew": [float((p * mean).sum())], "model_variance": [s2], "avp": [s2 + float((p / w.sum(axis=0)).sum())], "n_sites": [len(part)]})
-
-    return rows.groupBy("region").applyInPandas(run, "region string, skew double, model_variance double, avp double, n_sites long")
+        n, skew = part["n"].to_numpy(float), part["skew"].to_numpy(float)
+        x = np.column_stack([np.ones(len(part)), *(part[c].to_numpy(float) for c in predictors)])
+        if len(part) < x.shape[1] + 2:
+            return pd.DataFrame(columns=["region", "term", "coef", "se", "model_variance", "avp", "effective_years", "n_sites"])
+        g = (1 + 6 / n) * skew
+        v = skew_sampling_variance(n, x @ np.linalg.lstsq(x, g, rcond=None)[0])
+        grid = np.concatenate([[0], np.geomspace(1e-4, 4, 600)])
+
+        def weighted(s2: float) -> tuple[np.ndarray, np.ndarray, float]:
+            w = 1 / (v + s2)
+            info = x.T @ (w[:, None] * x)
+            b = np.linalg.solve(info, x.T @ (w * g))
+            return b, info, float(0.5 * np.log(w).sum() - 0.5 * np.linalg.slogdet(info)[1] - 0.5 * (w * (g - x @ b) ** 2).sum() - prior * s2)
+
+        s2 = posterior(np.array([weighted(s)[2] for s in grid]), grid)
+        b, info, _ = weighted(s2)
+        hat = np.linalg.solve(info, (x / (v + s2)[:, None]).T)
+        sigma = np.sqrt(np.outer(v, v)) * np.where(np.eye(len(v), dtype=bool), 1.0, correlation)
+        values, vectors = np.linalg.eigh(sigma)
+        r2 = (vectors.T @ (g - x @ b)) ** 2
+        spread = np.maximum(grid[:, None] + np.maximum(values, 0), 1e-300)
+        s2 = posterior(-prior * grid - 0.5 * np.log(spread).sum(axis=1) - 0.5 * (r2 / spread).sum(axis=1), grid)
+        cov = hat @ (sigma + s2 * np.eye(len(v))) @ hat.T
+        avp = s2 + float(np.einsum("ij,jk,ik->i", x, cov, x).mean())
+        years = np.geomspace(5, 5000, 4000)
+        at = float(np.interp(-avp, -skew_sampling_variance(years, np.full(4000, float((x @ b).mean()))), years))
+        return pd.DataFrame({"region": part["region"].iloc[0], "term": names, "coef": b, "se": np.sqrt(np.diag(cov)), "model_variance": s2, "avp": avp, "effective_years": at, "n_sites": len(part)})
+
+    return rows.groupBy("region").applyInPandas(run, "region string, term string, coef double, se double, model_variance double, avp double, effective_years double, n_sites long")
 
 
 # ---- dissimilarity of transfers ------------------------------------------------------------------------------
@@ -144,6 +180,19 @@ def nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def dissimilarity(part: pd.DataFrame, power: float = 1.0) -> tuple[float, float]:
+    """Nugget and slope of squared errors beyond the known variance."""
+    e2, known, x = part["error"].to_numpy(float) ** 2, part["known"].to_numpy(float), part["log_ar"].to_numpy(float) ** power
+    a, s = np.column_stack([np.ones(len(x)), x]), np.array([max(1e-6, float((e2 - known).mean())), 0.0])
+    for _ in range(50):
+        w = 1 / np.maximum(known + a @ s, 1e-9)
+        new = nonnegative(a * w[:, None], (e2 - known) * w)
+        if np.abs(new - s).max() < 1e-10:
+            break
+        s = new
+    return float(s[0]), float(s[1])
+
+
 def fit_dissimilarity(pairs: DataFrame, power: float = 1.0) -> DataFrame:
     """How squared transfer errors grow with log_ar ^ power, beyond the known variance: non-negative weighted least squares.
 
@@ -151,15 +200,8 @@ def fit_dissimilarity(pairs: DataFrame, power: float = 1.0) -> DataFrame:
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        e2, known, x = part["error"].to_numpy(float) ** 2, part["known"].to_numpy(float), part["log_ar"].to_numpy(float) ** power
-        a, s = np.column_stack([np.ones(len(x)), x]), np.array([max(1e-6, float((e2 - known).mean())), 0.0])
-        for _ in range(50):
-            w = 1 / np.maximum(known + a @ s, 1e-9)
-            new = nonnegative(a * w[:, None], (e2 - known) * w)
-            if np.abs(new - s).max() < 1e-10:
-                break
-            s = new
-        return pd.DataFrame({"group": [part["group"].iloc[0]], "nugget": [float(s[0])], "slope": [float(s[1])], "n": [len(part)]})
+        nugget, slope = dissimilarity(part, power)
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "nugget": [nugget], "slope": [slope], "n": [len(part)]})
 
     return pairs.groupBy("group").applyInPandas(run, "group string, nugget double, slope double, n long")
 
@@ -195,19 +237,41 @@ def exponent_at(z: Column, points: list[tuple[float, float]], outside: str = "cl
     return F.when(z < points[0][0], points[0][1] if outside == "clamp" else line(points[0], points[1])).otherwise(out)
 
 
-def leave_one_out(rows: DataFrame, predictors: tuple[str, ...]) -> DataFrame:
-    """Estimate of each site by the regression of the others of its region: rows as for fit_gls without variance."""
+def leave_one_out(pairs: DataFrame, gages: DataFrame, correlation: float = 0.0, level: float = 0.9) -> DataFrame:
+    """Each connected gage estimated from its neighbours and its regression as if it had no record, and scored.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna().sort_values("site")
-        x = np.column_stack([np.ones(len(part)), *(part[c].to_numpy(float) for c in predictors)])
-        y = part["y"].to_numpy(float)
-        if len(part) < x.shape[1] + 2:
-            return pd.DataFrame(columns=["region", "site", "log_est", "log_obs"])
-        hat = x @ np.linalg.pinv(x)
-        return pd.DataFrame({"region": part["region"], "site": part["site"], "log_est": y - (y - hat @ y) / (1 - np.diag(hat)), "log_obs": y})
-
-    return rows.groupBy("region").applyInPandas(run, "region string, site string, log_est double, log_obs double")
+    pairs: group, donor, receiver, error (of the transfer's log), known (both gages' variances), log_ar; gages: group,
+    site, log_flow, variance, regression, regression_variance (null without one). The dissimilarity is fitted to the pairs
+    that don't involve the gage. Covered: whether the observed log lies within the blend's limits at this level, its own
+    variance included. A network is one group.
+    """
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    columns = "group string, site string, n_donors long, observed double, blend double, blend_variance double, blend_error double, covered boolean, note string"
+
+    def run(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out, names = [], [c.split()[0] for c in columns.split(", ")]
+        info = own.set_index("site")
+        for site, mine in part.groupby("receiver", sort=True):
+            rest = part[(part["receiver"] != site) & (part["donor"] != site)]
+            gage = info.loc[site]
+            head = (part["group"].iloc[0], site, len(mine), float(gage["log_flow"]))
+            if len(rest) < 4:
+                out.append((*head, None, None, None, None, "too few other pairs"))
+                continue
+            nugget, slope = dissimilarity(rest)
+            estimate = mine["error"].to_numpy(float) + gage["log_flow"]
+            variance = mine["known"].to_numpy(float) - gage["variance"] + nugget + slope * mine["log_ar"].to_numpy(float)
+            c = np.sqrt(np.outer(variance, variance)) * np.where(np.eye(len(mine), dtype=bool), 1.0, correlation)
+            if pd.notna(gage["regression"]):
+                estimate = np.append(estimate, gage["regression"])
+                c = np.block([[c, np.zeros((len(mine), 1))], [np.zeros((1, len(mine))), np.array([[gage["regression_variance"]]])]])
+            w = np.linalg.solve(c, np.ones(len(c)))
+            blend, v = float(w @ estimate / w.sum()), float(1 / w.sum())
+            error = blend - head[3]
+            out.append((*head, blend, v, error, bool(abs(error) <= z * np.sqrt(v + gage["variance"])), ""))
+        return pd.DataFrame(out, columns=names)
+
+    return pairs.groupBy("group").cogroup(gages.groupBy("group")).applyInPandas(run, columns)
 
 
 # ---- rules ---------------------------------------------------------------------------------------------------

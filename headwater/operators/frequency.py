@@ -18,8 +18,10 @@ RESULT = "site string, n long, mean_log double, std_log double, skew double, sta
 def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_mse: float | None = None, aeps: tuple[float, ...] = AEPS, screen: bool = True) -> DataFrame:
     """Censored fit of each site: rows of site, ql and qu (flow intervals; equal for exact peaks).
 
-    Returns a row for each site and aep. A record that can't be fitted gives one row with its error instead.
+    tl and tu, if there, are the perception thresholds of each year, as flows. Returns a row for each site and aep, with
+    90 % limits. A record that can't be fitted gives one row with its error instead.
     """
+    thresholds = {"tl", "tu"} <= set(rows.columns)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         site = part["site"].iloc[0]
@@ -29,13 +31,14 @@ def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_
             hi = np.log10(np.minimum(np.maximum(part["qu"].to_numpy(float), 1e-20), 1e20))
             if (lo == hi).sum() < 3:
                 raise ValueError("fewer than 3 exact peaks")
-            f = C.fit(np.where((lo != hi) & (lo <= -20), C.LEAST_LOG, lo), hi, regional_skew, regional_mse, screen)
+            log = lambda c: np.log10(np.clip(part[c].to_numpy(float), 1e-20, 1e20))
+            tl, tu = (log("tl"), log("tu")) if thresholds else (None, None)
+            f = C.fit(np.where((lo != hi) & (lo <= -20), C.LEAST_LOG, lo), hi, regional_skew, regional_mse, screen, tl, tu)
             head = (site, f.n, f.mean, f.sd, f.skew, f.station_skew, f.n_low, None if f.threshold is None else 10**f.threshold, f.iterations)
             out = []
-            for aep in aeps:
-                log, a, b, v = C.quantile_limits(f, aep)
-                out.append((*head, aep, 10**log, 10**a, 10**b, v, None))
-        except (ValueError, ArithmeticError) as e:
+            for aep, (y, a, b, v) in zip(aeps, f.limits(aeps)):
+                out.append((*head, aep, 10**y, 10**a, 10**b, v, None))
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
             out = [(site, len(part), *[None] * 12, str(e))]
         return pd.DataFrame(out, columns=columns)
 

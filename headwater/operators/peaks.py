@@ -149,10 +149,22 @@ def match_aep(wanted: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("sit
 def longest_prefix(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """Each site's rule with the longest prefix of its code; sites: site, code; rules: prefix, value.
 
-    Prefix lengths are few: the code is cut to each of them, which makes the lookup an equi-join.
+    Prefix lengths are few: the code is cut to each of them, which makes the lookup an equi-join. Two values for one
+    prefix raise, and so does a code that is only the beginning of prefixes with other values than it has itself.
     """
     lengths = [r["n"] for r in rules.select(F.length("prefix").alias("n")).distinct().collect()]
+    at = [r["n"] for r in sites.select(F.length("code").alias("n")).distinct().collect() if r["n"]]
+    unlike = F.when(F.size("values") > 1, F.raise_error(F.concat(F.lit("several values for "), "prefix"))).otherwise(F.get("values", F.lit(0)))
+    rules = rules.groupBy("prefix").agg(F.collect_set("value").alias("values")).select("prefix", unlike.alias("value"))
+    # rules of units within a site's own, by the beginnings of their prefixes
+    begin = F.explode(F.array(*(F.substring("prefix", 1, n) for n in at))).alias("code")
+    finer = rules.select("prefix", "value", begin).filter("length(prefix) > length(code)").groupBy("code").agg(F.collect_set("value").alias("finer")) if at else None
     cut = F.explode(F.array(*(F.substring("code", 1, n) for n in lengths))).alias("prefix")
     found = sites.select("site", "code", cut).distinct().join(rules, "prefix")
     best = found.groupBy("site", "code").agg(F.max_by(F.struct("prefix", "value"), F.length("prefix")).alias("r"))
-    return sites.join(best.select("site", "code", "r.prefix", "r.value"), ["site", "code"], "left")
+    out = sites.join(best.select("site", "code", "r.prefix", "r.value"), ["site", "code"], "left")
+    if finer is None:
+        return out
+    other = F.size(F.array_except(F.coalesce("finer", F.array().cast("array<string>")), F.array(F.col("value").cast("string")))) > 0
+    value = F.when(other, F.raise_error(F.concat(F.lit("units within "), "code", F.lit(" have other values")))).otherwise(F.col("value"))
+    return out.join(finer, "code", "left").select(*sites.columns, "prefix", value.alias("value"))

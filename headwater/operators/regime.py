@@ -71,7 +71,7 @@ def seasonal_summary(daily: DataFrame, share: float = 0.9) -> DataFrame:
     ).withColumn("days_in_season", length).withColumn("complete", F.col("n_days") >= share * F.col("days_in_season"))
 
 
-def duration_percentiles(daily: DataFrame, exceedance: tuple[float, ...] = (1, 5, 10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
+def duration_percentiles(daily: DataFrame, exceedance: tuple[float, ...] = (1, 5, 10, 20, 50, 80, 90, 95, 99)) -> DataFrame:
     """Flow exceeded so many percent of the time, by linear interpolation."""
     valid = daily.filter("flow >= 0")
     ps = F.array(*(F.lit(1 - e / 100) for e in exceedance))
@@ -86,10 +86,12 @@ def duration_percentiles(daily: DataFrame, exceedance: tuple[float, ...] = (1, 5
 def _between_turning_points(days: DataFrame) -> DataFrame:
     """Baseflow from turning (value at turning points, else null): straight lines between them, never above the flow."""
     by = Window.partitionBy("site").orderBy("day")
-    back, on = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    back = by.rowsBetween(Window.unboundedPreceding, 0)
+    # the next value is the last one from behind: frames that begin at the current row cost a pass for each row
+    on = Window.partitionBy("site").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("turning").isNotNull(), F.col("day"))
     ends = days.select(
-        "*", F.last("turning", True).over(back).alias("v0"), F.last(at, True).over(back).alias("d0"), F.first("turning", True).over(on).alias("v1"), F.first(at, True).over(on).alias("d1"),
+        "*", F.last("turning", True).over(back).alias("v0"), F.last(at, True).over(back).alias("d0"), F.last("turning", True).over(on).alias("v1"), F.last(at, True).over(on).alias("d1"),
         F.count("turning").over(Window.partitionBy("site")).alias("n_turning"),
     )
     line = F.when(F.col("d0") == F.col("d1"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("day") - F.col("d0")) / (F.col("d1") - F.col("d0")))

@@ -119,10 +119,13 @@ def pot_counts(daily: DataFrame, threshold: float, min_separation: int = 7, min_
     return years.join(events, ["site", "year"], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
-def mixed_population(peaks: DataFrame, cool: tuple[int, ...] = (11, 12, 1, 2, 3), band: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
-    """Share of peaks in cool months; mixed within the band."""
+def mixed_population(peaks: DataFrame, cool: tuple[int, ...] = (10, 11, 12, 1, 2, 3), band: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
+    """Share of peaks in cool months, their circular mean day and how close they lie to it; mixed inside the band."""
     share = F.avg(F.month("date").isin(*cool).cast("double"))
-    return peaks.groupBy("site").agg(F.count(F.lit(1)).alias("n"), share.alias("cool_share")).withColumn("mixed", F.col("cool_share").between(*band))
+    angle = 2 * math.pi * F.dayofyear("date") / F.dayofyear(F.make_date(F.year("date"), F.lit(12), F.lit(31)))
+    rows = peaks.filter("date IS NOT NULL").groupBy("site").agg(F.count(F.lit(1)).alias("n"), share.alias("cool_share"), F.avg(F.cos(angle)).alias("c"), F.avg(F.sin(angle)).alias("s"))
+    turn = F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0))
+    return rows.select("site", "n", "cool_share", (turn / 360 * 365.25).alias("mean_day"), F.sqrt(F.col("c") ** 2 + F.col("s") ** 2).alias("concentration"), ((F.col("cool_share") > band[0]) & (F.col("cool_share") < band[1])).alias("mixed"))
 
 
 def attribute_change(changes: DataFrame, events: DataFrame, window: int = 5) -> DataFrame:

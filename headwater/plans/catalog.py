@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_regime", "q_flow", "q_time", "q_transfer", "q_frequency", "q_sources", "q_estimators")
+MODULES = ("q_regime", "q_flow", "q_time", "q_transfer", "q_frequency", "q_sources", "q_estimators", "q_dimensions")
 
 
 def _all(what: str) -> dict:

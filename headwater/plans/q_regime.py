@@ -92,7 +92,7 @@ p AS (SELECT site, sum(c) / sum(t) AS flashiness, avg(tq) AS tqmean, count(*) AS
 z AS (SELECT site, year(date) + (month(date) >= 10)::INT AS wy, sum(flow) AS f, sum(baseflow) AS b FROM bf WHERE baseflow IS NOT NULL AND flow IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_DAYS})
 --
 SELECT site, flashiness, tqmean, n_years, bfi, n_years_bfi FROM p LEFT JOIN (SELECT site, sum(b) / sum(f) AS bfi, count(*) AS n_years_bfi FROM z GROUP BY site) USING (site)""", "flashiness tqmean bfi"),
-    "d8_duration_percentiles": sql("SELECT site, e::DOUBLE AS exceedance_pct, quantile_cont(flow, 1 - e / 100.0) AS flow FROM daily, (VALUES (1), (5), (10), (25), (50), (75), (90), (95), (99)) AS v(e) GROUP BY site, e".replace("quantile_cont(flow, 1 - e / 100.0)", "CASE e " + " ".join(f"WHEN {e} THEN quantile_cont(flow, {1 - e / 100})" for e in (1, 5, 10, 25, 50, 75, 90, 95, 99)) + " END"), "exceedance_pct flow"),
+    "d8_duration_percentiles": sql("SELECT site, e::DOUBLE AS exceedance_pct, quantile_cont(flow, 1 - e / 100.0) AS flow FROM daily, (VALUES (1), (5), (10), (20), (50), (80), (90), (95), (99)) AS v(e) GROUP BY site, e".replace("quantile_cont(flow, 1 - e / 100.0)", "CASE e " + " ".join(f"WHEN {e} THEN quantile_cont(flow, {1 - e / 100})" for e in (1, 5, 10, 20, 50, 80, 90, 95, 99)) + " END"), "exceedance_pct flow"),
     "e2_local_minimum": sql(_CENTRE.replace("DENSE", "dense") + "\n--\n" + _turning("turn AS (SELECT site, day, flow AS turning FROM cm WHERE flow = low)").replace("DENSE", "dense") + "SELECT * FROM bf", "flow baseflow"),
     "e2_sliding_interval": sql(_CENTRE.replace("DENSE", "gdense") + "\n--\nSELECT site, date, flow, low AS baseflow FROM cm", "flow baseflow"),
     "e3_fixed_interval": sql(f"SELECT site, date, flow, CASE WHEN count(flow) OVER w = count(*) OVER w THEN min(flow) OVER w END AS baseflow FROM gdense WINDOW w AS (PARTITION BY site, day // {2 * _N})", "flow baseflow"),

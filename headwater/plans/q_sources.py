@@ -18,15 +18,15 @@ def _cards(s, d):
 
 def _rdb(s, d):
     cols = ["agency_cd", "site_no", "datetime", "tz_cd", "11_00060", "11_00060_cd"]
-    e = instantaneous(s, d).filter("site = 'view'")
+    e = instantaneous(s, d)
     line = F.concat_ws("\t", F.lit("U"), "site", F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("MST"), F.round("value", 2).cast("string"), F.lit("A"))
     extra = s.createDataFrame([("# note",), ("\t".join(cols),), ("5s\t15s\t20d\t6s\t14n\t10s",)], "value string")
     return R.rdb_instantaneous(R.rdb(e.select(line.alias("value")).unionAll(extra), cols), "00060", {"MST": "-07:00"}).select("site", "ts", "value", "code")
 
 
 def _geojson(s, d):
-    e = instantaneous(s, d).filter("site = 'click'").withColumn("p", F.floor(F.unix_timestamp("ts") / 86400))
-    props = F.struct(F.col("site").alias("monitoring_location_id"), F.lit("00060").alias("parameter_code"), F.lit("x").alias("time_series_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.col("value").cast("string").alias("value"), F.lit("Approved").alias("approval_status"), F.array(F.lit("ICE"), F.lit("ODD")).alias("qualifier"))
+    e = instantaneous(s, d).withColumn("p", F.floor(F.unix_timestamp("ts") / 86400))
+    props = F.struct(F.col("site").alias("monitoring_location_id"), F.lit("00060").alias("parameter_code"), F.lit("x").alias("time_series_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.col("value").cast("string").alias("value"), F.lit("Approved").alias("approval_status"), F.array(F.lit("ICE"), F.lit("ESTIMATED")).alias("qualifier"))
     docs = e.groupBy("p").agg(F.to_json(F.struct(F.collect_list(F.struct(F.lit("f").alias("id"), props.alias("properties"))).alias("features"))).alias("value"))
     return R.continuous(R.features(docs), "00060")
 
@@ -43,9 +43,9 @@ QUERIES = {
 
 ORACLE = {
     "a3_peak_cards": sql("SELECT site, CASE WHEN year % 12 + 1 >= 10 THEN year + 1901 ELSE year + 1900 END AS year, make_date(year + 1900, year % 12 + 1, 1) AS date, floor(flow) AS flow, '7' AS code, 1.5::DOUBLE AS stage FROM mpeaks", longs="year"),
-    "a6_rdb": "SELECT event_type AS site, date_trunc('minute', ts) + INTERVAL 7 HOURS AS ts, round(value, 6) AS value, 'A' AS code FROM events WHERE event_type = 'view'",
+    "a6_rdb": "SELECT event_type AS site, date_trunc('minute', ts) + INTERVAL 7 HOURS AS ts, round(value, 6) AS value, 'A' AS code FROM events",
     "a7_partial_date": "SELECT p_partkey, make_date(1900 + p_size + 20, greatest(1, p_partkey % 10), 1) AS date FROM part",
-    "a10_a12_features": "SELECT event_type AS site, ts, round(value, 6) AS value, 'A:Ice:ODD' AS code FROM events WHERE event_type = 'click'",
+    "a10_a12_features": "SELECT event_type AS site, ts, round(value, 6) AS value, 'A:ICE:e' AS code FROM events",
     "a14_chunks": "SELECT * FROM (VALUES (TIMESTAMP '2019-03-01 07:00:00', TIMESTAMP '2021-03-01 07:00:00'), (TIMESTAMP '2021-03-01 07:00:00', TIMESTAMP '2023-03-01 07:00:00'), (TIMESTAMP '2023-03-01 07:00:00', TIMESTAMP '2024-02-11 07:00:00')) AS t(lo, hi)",
     "a23_invalid_peaks": sql("SELECT site, year // 12 AS year, count(*) AS n FROM mpeaks GROUP BY site, year // 12 HAVING count(*) > 1", longs="year"),
     "f7_compiled_equation": "SELECT p_partkey, round(pow(10, 0.5) * pow(p_size, 0.75) * pow(p_retailprice / 100 + 1, -1.2) + greatest(p_size - 10, 0) - ln(p_retailprice) / ln(10), 6) AS flow FROM part",

@@ -151,6 +151,6 @@ SELECT site, sum(l ** 2) / max(n) ** 2 AS abrupt, (max(n) * sum(t ** 2) - sum(t)
     "d32_field_significance": sql(_PET + "pk AS (SELECT p_value AS p, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM pt)\n--\nSELECT max(m) AS n_sites, count(*) FILTER (p < 0.5) AS n_local, max(p) FILTER (p <= 0.5 * k / m) AS fdr_threshold, 1 - (1 - min(p)) ** max(m) AS walker_p FROM pk", "fdr_threshold walker_p"),
     "d34_pot_counts": sql(_POT + "yc AS (SELECT DISTINCT site, wy FROM cw WHERE nd >= 150)\n--\nSELECT yc.site, yc.wy AS year, count(event) AS n_events FROM yc LEFT JOIN ev ON ev.site = yc.site AND year(peak_date) + (month(peak_date) >= 10)::INT = yc.wy GROUP BY ALL", longs="year"),
     "d34_pot_events": sql(_POT + "SELECT site, event::BIGINT AS event, peak_date, peak FROM ev", "peak"),
-    "d36_mixed_population": sql(_POT + "SELECT site, count(*) AS n, avg((month(peak_date) IN (11, 12, 1, 2, 3))::INT) AS cool_share, avg((month(peak_date) IN (11, 12, 1, 2, 3))::INT) BETWEEN 0.2 AND 0.8 AS mixed FROM ev GROUP BY site", "cool_share"),
+    "d36_mixed_population": sql(_POT + "SELECT site, n, cool_share, (degrees(atan2(s, c)) + CASE WHEN atan2(s, c) < 0 THEN 360 ELSE 0 END) / 360 * 365.25 AS mean_day, sqrt(c * c + s * s) AS concentration, cool_share > 0.2 AND cool_share < 0.8 AS mixed FROM (SELECT site, count(*) AS n, avg((month(peak_date) IN (10, 11, 12, 1, 2, 3))::INT) AS cool_share, avg(cos(2 * pi() * dayofyear(peak_date) / dayofyear(make_date(year(peak_date), 12, 31)))) AS c, avg(sin(2 * pi() * dayofyear(peak_date) / dayofyear(make_date(year(peak_date), 12, 31)))) AS s FROM ev GROUP BY site)", "cool_share mean_day concentration"),
     "d37_attribute_change": sql(_PET + "SELECT pt.site, pt.year AS change_year, m.year, 'high month' AS cause, m.year - pt.year AS \"offset\" FROM pt JOIN mpeaks m ON m.site = pt.site AND m.flow > 250 AND abs(m.year - pt.year) <= 5", longs='change_year year "offset"'),
 }

@@ -53,7 +53,12 @@ def gages(s, d):
 
 
 def connections(s, d):
-    c = sites(s, d).select("site", F.substring("code", 1, 5).alias("p"))
+    return connected_by(s, d, 5)
+
+
+def connected_by(s, d, digits):
+    """Pairs of sites whose codes begin alike."""
+    c = sites(s, d).select("site", F.substring("code", 1, digits).alias("p"))
     return c.alias("a").join(c.alias("b"), (F.col("a.p") == F.col("b.p")) & (F.col("a.site") < F.col("b.site"))).select(F.col("a.site").alias("site"), F.col("b.site").alias("other"))
 
 

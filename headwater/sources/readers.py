@@ -123,13 +123,13 @@ def daily_values(found: DataFrame, parameter: str) -> DataFrame:
 
 # Words of the service and the codes that stand for them.
 STATUS = {"Approved": "A", "Provisional": "P"}
-QUALIFIERS = {"ESTIMATED": "e", "ICE": "Ice", "EQUIP": "Eqp", "BACKWATER": "Bkw"}
+QUALIFIERS = {"ESTIMATED": "e"}
 
 
 def qualification(status: Column, qualifiers: Column) -> Column:
-    """Status and qualifiers as one colon-joined code; unknown words stay as they are."""
+    """Status and qualifiers as one colon-joined code; unknown words stay as they are, empty ones go."""
     of = lambda d, x: F.coalesce(F.create_map(*(F.lit(v) for kv in d.items() for v in kv))[x], x)
-    return F.array_join(F.concat(F.array_compact(F.array(of(STATUS, status))), F.transform(F.coalesce(qualifiers, F.array().cast("array<string>")), lambda x: of(QUALIFIERS, x))), ":")
+    return F.array_join(F.concat(F.array_compact(F.array(of(STATUS, status))), F.transform(F.filter(F.coalesce(qualifiers, F.array().cast("array<string>")), lambda x: x != ""), lambda x: of(QUALIFIERS, x))), ":")
 
 
 def conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
