@@ -75,7 +75,11 @@ class Suffixes:
         inside = np.cumsum(ok, dtype=np.int8)[:n]
         parts = [self._anchored(a, inside) for a in range(0, n, B.PIECE_BYTES)]
         none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)
-        self.p, self.lo, self.hi, self.gram = (np.concatenate(x) for x in zip(none, *parts))
+        p, lo, hi, gram = (np.concatenate(x) for x in zip(none, *parts))
+        # the strings of an anchor may lie in two pieces; rows are the same wherever pieces begin
+        new = np.flatnonzero(np.diff(p, prepend=-1))
+        self.p, self.gram = p[new], gram[new]
+        self.lo, self.hi = (np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)) if len(new) else (lo, hi)
         self.doc = np.searchsorted(self.offsets, self.p, side="right") - 1
         self.distinct, self.at, self.several = B.distinct(self.gram, self.ids[self.doc])
 
