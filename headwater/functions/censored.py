@@ -208,11 +208,12 @@ def perceived(lower: np.ndarray, upper: np.ndarray, tl: np.ndarray | None, tu: n
     return tuple((float(n), *pair) for pair, n in count.items())
 
 
-def fit(lower: np.ndarray, upper: np.ndarray, regional: float | None = None, regional_mse: float | None = None, screen: bool = True, tl: np.ndarray | None = None, tu: np.ndarray | None = None) -> Fit:
+def fit(lower: np.ndarray, upper: np.ndarray, regional: float | None = None, regional_mse: float | None = None, screen: bool = True, tl: np.ndarray | None = None, tu: np.ndarray | None = None, option: str = "weighted") -> Fit:
     """Expected-moments fit of flow intervals in logs, with low outliers recoded below their threshold.
 
     tl and tu: logs of the perception thresholds of each year. A regional skew with a mean square error counts as
-    further years: as many as the record's, times the ratio of the errors and that of the determinants.
+    further years: as many as the record's, times the ratio of the errors and that of the determinants. option: weighted,
+    station (the record's own skew) or regional (that skew alone).
     """
     lo, hi = lower.astype(float).copy(), upper.astype(float).copy()
     k, threshold = low_outliers(lo[lo == hi]) if screen else (0, None)
@@ -223,9 +224,9 @@ def fit(lower: np.ndarray, upper: np.ndarray, regional: float | None = None, reg
     mean, sd, station, n = expected_moments(lo, hi)
     own = M.standardised(groups, mean, sd)
     mse, skew = M.skew_error(own, station, k > 0), station
-    weighted = regional is not None and regional_mse and 0 < regional_mse < 1e10
+    weighted = option != "station" and regional is not None and regional_mse and 0 < regional_mse < 1e10
     if weighted:
-        years = len(lo) * M.determinant_ratio(own, station) * mse / regional_mse
+        years = 1e12 if option == "regional" else len(lo) * M.determinant_ratio(own, station) * mse / regional_mse
         mean, sd, skew, more = expected_moments(lo, hi, regional, years)
         n += more
-    return Fit(len(lo), mean, sd, skew, station, k, threshold, n, groups, mse, regional_mse if weighted else None)
+    return Fit(len(lo), mean, sd, skew, station, k, threshold, n, groups, mse, (-regional_mse if option == "regional" else regional_mse) if weighted else None)

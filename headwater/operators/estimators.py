@@ -14,16 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import special as S
+from headwater.functions.calendar import season
+from headwater.operators.duration import performance
+from headwater.operators.records import rank_donors
 from headwater.operators.transfer import in_polygon
 
 # ---- daily flow from a donor's exceedance probability --------------------------------------------------------
 
 
-def probability_transfer(target: DataFrame, donor: DataFrame) -> DataFrame:
+def probability_transfer(target: DataFrame, donor: DataFrame, pairs: DataFrame, groups: dict[str, tuple[int, ...]] | None = None) -> DataFrame:
     """The target's flow on each donor day: the donor's flow as a probability on its curve, read on the target's.
 
-    Both records go to one group for each pair of site and donor; curves are interpolated in normal deviates and logs
-    and held at their ends.
+    pairs: site, donor, the pairs to be made, such as each site's best donor. Both records of a pair go to one group (and
+    season, where seasons are given); curves are interpolated in normal deviates and logs and held at their ends.
     """
 
     def curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,21 +36,39 @@ def probability_transfer(target: DataFrame, donor: DataFrame) -> DataFrame:
         return np.log10(positive), np.array([S.normal_quantile(p) for p in 1 - (n - k + 1) / (n + 1)])
 
     def run(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["site", "donor", "date", "flow"])
         if not len(t) or not len(d):
-            return pd.DataFrame(columns=["site", "donor", "date", "flow"])
+            return none
         lt, zt = curve(t["flow"].to_numpy(float))
         ld, zd = curve(d["flow"].to_numpy(float))
+        if not len(lt) or not len(ld):
+            return none
         x = d["flow"].to_numpy(float)
         z = np.interp(np.log10(np.maximum(x, 1e-300)), ld, zd)
         return pd.DataFrame({"site": t["site"].iloc[0], "donor": d["donor"].iloc[0], "date": d["date"], "flow": np.where(x > 0, 10 ** np.interp(z, zt, lt), 0.0)})
 
-    pairs = target.select("site").distinct().join(donor.select(F.col("site").alias("donor")).distinct(), F.col("site") != F.col("donor"))
-    key = F.concat_ws("|", "site", "donor").alias("pair")
-    left = target.join(pairs, "site").select(key, "site", "date", "flow")
-    right = donor.withColumnRenamed("site", "donor").join(pairs, "donor").select(key, "donor", "date", "flow")
+    part = F.lit("") if groups is None else season(F.col("date"), groups)
+    key = F.concat_ws("|", "site", "donor", part).alias("pair")
+    left = target.filter("flow IS NOT NULL").join(pairs.select("site", "donor"), "site").select(key, "site", "date", "flow")
+    right = donor.filter("flow IS NOT NULL").withColumnRenamed("site", "donor").join(pairs.select("site", "donor"), "donor").select(key, "donor", "date", "flow")
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "site string, donor string, date date, flow double")
 
 
+def best_donors(daily: DataFrame, min_concurrent: int = 365) -> DataFrame:
+    """Each site's best other: enough common days first, then rank correlation."""
+    ranked = rank_donors(daily, daily, min_concurrent)
+    best = F.max_by("donor", F.struct("sufficient", F.coalesce("spearman", F.lit(-2.0)), "donor"))
+    return ranked.groupBy("site").agg(best.alias("donor"))
+
+
+def transfer_scores(daily: DataFrame, groups: dict[str, tuple[int, ...]] | None = None, min_concurrent: int = 365) -> DataFrame:
+    """Leave-one-out over sites: each as if ungaged, estimated from its best donor and scored against its record."""
+    pairs = best_donors(daily, min_concurrent)
+    made = probability_transfer(daily, daily, pairs, groups).select("site", "date", F.col("flow").alias("estimated"))
+    both = made.join(daily.toDF(*daily.columns).select(F.col("site").alias("s"), F.col("date").alias("d"), F.col("flow").alias("observed")), (F.col("site") == F.col("s")) & (F.col("date") == F.col("d"))).select("site", "observed", "estimated")
+    return pairs.join(performance(both), "site").filter("n >= 2")
+
+
 # ---- least squares with model error --------------------------------------------------------------------------
 
 

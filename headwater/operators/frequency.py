@@ -15,7 +15,7 @@ AEPS = (0.99, 0.9, 0.5, 0.2, 0.1, 0.04, 0.02, 0.01, 0.005, 0.002)
 RESULT = "site string, n long, mean_log double, std_log double, skew double, station_skew double, n_low long, threshold double, iterations long, aep double, flow double, lower double, upper double, variance_log double, error string"
 
 
-def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_mse: float | None = None, aeps: tuple[float, ...] = AEPS, screen: bool = True) -> DataFrame:
+def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_mse: float | None = None, aeps: tuple[float, ...] = AEPS, screen: bool = True, option: str = "weighted") -> DataFrame:
     """Censored fit of each site: rows of site, ql and qu (flow intervals; equal for exact peaks).
 
     tl and tu, if there, are the perception thresholds of each year, as flows. Returns a row for each site and aep, with
@@ -33,7 +33,7 @@ def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_
                 raise ValueError("fewer than 3 exact peaks")
             log = lambda c: np.log10(np.clip(part[c].to_numpy(float), 1e-20, 1e20))
             tl, tu = (log("tl"), log("tu")) if thresholds else (None, None)
-            f = C.fit(np.where((lo != hi) & (lo <= -20), C.LEAST_LOG, lo), hi, regional_skew, regional_mse, screen, tl, tu)
+            f = C.fit(np.where((lo != hi) & (lo <= -20), C.LEAST_LOG, lo), hi, regional_skew, regional_mse, screen, tl, tu, option)
             head = (site, f.n, f.mean, f.sd, f.skew, f.station_skew, f.n_low, None if f.threshold is None else 10**f.threshold, f.iterations)
             out = []
             for aep, (y, a, b, v) in zip(aeps, f.limits(aeps)):
@@ -50,6 +50,56 @@ def fit_peaks(peaks: DataFrame, **options) -> DataFrame:
     return fit_intervals(peaks.filter("flow > 0").select("site", F.col("flow").alias("ql"), F.col("flow").alias("qu")), **options)
 
 
+def skew_tables(rows: DataFrame, regional_skew: float, regional_mse: float, aeps: tuple[float, ...] = AEPS) -> DataFrame:
+    """Quantiles and limits of each site by station, weighted and regional skew, as rows of fit_intervals with the option."""
+    out = None
+    for option in ("station", "weighted", "regional"):
+        one = fit_intervals(rows, regional_skew, regional_mse, aeps, option=option).withColumn("option", F.lit(option))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def analyse(peaks: DataFrame, regional: DataFrame | None = None, thresholds: DataFrame | None = None, aeps: tuple[float, ...] = AEPS) -> DataFrame:
+    """One call for many sites: coded peaks (site, year, flow, code), regional skews (site, skew, mse) and perception periods.
+
+    Sites without a regional skew are fitted with their own. Where a record can't be fitted and is plain (no censored
+    year), the method of moments stands in and says so in error.
+    """
+    from headwater.operators.peaks import station_rows
+
+    rows = (
+        station_rows(peaks, thresholds)
+        if thresholds is not None
+        else peaks.filter("flow > 0").select("site", "year", F.col("flow").alias("ql"), F.col("flow").alias("qu"), F.lit(0.0).alias("tl"), F.lit(1e20).alias("tu"), F.lit("exact").alias("kind"))
+    )
+    rows = rows.join(regional.select("site", "skew", "mse"), "site", "left") if regional is not None else rows.withColumns({"skew": F.lit(None).cast("double"), "mse": F.lit(None).cast("double")})
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        site, columns = part["site"].iloc[0], [c.split()[0] for c in RESULT.split(", ")]
+        log = lambda c: np.log10(np.clip(part[c].to_numpy(float), 1e-20, 1e20))
+        skew, mse = part["skew"].iloc[0], part["mse"].iloc[0]
+        given = (float(skew), float(mse)) if pd.notna(skew) and pd.notna(mse) else (None, None)
+        out = []
+        try:
+            lo, hi = log("ql"), log("qu")
+            if (lo == hi).sum() < 3:
+                raise ValueError("fewer than 3 exact peaks")
+            f = C.fit(lo, hi, *given, tl=log("tl"), tu=log("tu"))
+            head = (site, f.n, f.mean, f.sd, f.skew, f.station_skew, f.n_low, None if f.threshold is None else 10**f.threshold, f.iterations)
+            out = [(*head, aep, 10**y, 10**a, 10**b, v, None) for aep, (y, a, b, v) in zip(aeps, f.limits(aeps))]
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            x = log("ql")
+            if (part["kind"] == "exact").all() and len(x) >= 3 and x.std(ddof=1) > 0:
+                mean, sd = x.mean(), x.std(ddof=1)
+                g = float(len(x) * ((x - mean) ** 3).sum() / ((len(x) - 1) * (len(x) - 2) * sd**3))
+                out = [(site, len(x), mean, sd, g, g, 0, None, 0, aep, 10 ** (mean + S.frequency_factor(g, aep) * sd), None, None, None, f"moments: {e}") for aep in aeps]
+            else:
+                out = [(site, len(x), *[None] * 12, str(e))]
+        return pd.DataFrame(out, columns=columns)
+
+    return rows.groupBy("site").applyInPandas(run, RESULT)
+
+
 def log_moments(peaks: DataFrame) -> DataFrame:
     """Mean, deviation and adjusted skew of the logs of positive peaks."""
     lg = F.log10("flow")

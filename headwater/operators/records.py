@@ -72,6 +72,12 @@ def lag_profile(target: DataFrame, donor: DataFrame, max_lag: int = 45) -> DataF
     return pairs.groupBy(*keys).agg(F.corr("ry", "rx").alias("spearman"), F.count(F.lit(1)).alias("n_concurrent"))
 
 
+def best_lag(profile: DataFrame) -> DataFrame:
+    """The lag with the highest rank correlation of each pair; of equal ones the shortest."""
+    by = F.struct(F.coalesce("spearman", F.lit(-2.0)), -F.abs("lag_days"), "lag_days")
+    return profile.groupBy("site", "donor").agg(F.max_by(F.struct("lag_days", "spearman", "n_concurrent"), by).alias("x")).select("site", "donor", "x.*")
+
+
 def concurrent_relation(short: DataFrame, index: DataFrame) -> DataFrame:
     """Median ratio, log deviation and correlation over the first and second half of the concurrent years, and all."""
     pairs = concurrent(short, index, "year").filter("y > 0 AND x > 0")

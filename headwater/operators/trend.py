@@ -110,6 +110,39 @@ def pot_events(daily: DataFrame, threshold: float, min_separation: int = 7, min_
     return rows.groupBy("site", "event").agg(F.min_by("date", F.struct(-F.col("flow"), F.col("date"))).alias("peak_date"), F.max("flow").alias("peak"))
 
 
+def pot_threshold(daily: DataFrame, events_per_year: float = 2.0, min_separation: int = 7, min_days: int = 330, min_years: int = 5) -> DataFrame:
+    """The highest threshold at which a site averages so many events in its complete water years, and the share of days
+    that don't exceed it. Scanned from the top over quantiles, since counts don't fall evenly, then halved between the last
+    miss and the first hit. Null with fewer complete years. One site's days are one group."""
+    from headwater.functions.calendar import year_label
+
+    rows = daily.filter("flow IS NOT NULL").withColumn("year", year_label(F.col("date"), "water"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("site", "year"))).filter(F.col("n") >= min_days)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        x, day = part["flow"].to_numpy(float), pd.to_datetime(part["date"]).to_numpy().astype("datetime64[D]").astype(int)
+        years = part["year"].nunique()
+        if years < min_years:
+            return pd.DataFrame({"site": [part["site"].iloc[0]], "threshold": [None], "quantile": [None], "n_years": [years]})
+
+        def enough(level: float) -> bool:
+            at = day[x > level]
+            return len(at) > 0 and 1 + int((np.diff(at) >= min_separation).sum()) >= events_per_year * years
+
+        steps = np.unique(np.quantile(x, np.linspace(0.5, 0.9995, 300)))[::-1]
+        hit = next((k for k, level in enumerate(steps) if enough(level)), len(steps) - 1)
+        lo = float(steps[hit])
+        if hit:
+            hi = float(steps[hit - 1])
+            for _ in range(40):
+                middle = (lo + hi) / 2
+                lo, hi = (middle, hi) if enough(middle) else (lo, middle)
+        return pd.DataFrame({"site": [part["site"].iloc[0]], "threshold": [lo], "quantile": [float((x <= lo).mean())], "n_years": [years]})
+
+    return rows.groupBy("site").applyInPandas(run, "site string, threshold double, quantile double, n_years long")
+
+
 def pot_counts(daily: DataFrame, threshold: float, min_separation: int = 7, min_days: int = 330) -> DataFrame:
     """Events in each complete water year, also where there are none."""
     from headwater.functions.calendar import year_label

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from headwater.operators import estimators as E
 from headwater.operators import transfer as T
+from headwater.operators.regime import SEASONS
 from headwater.plans.common import rounded, sql
 from headwater.plans.q_transfer import _basins, connected_by, connections, gages, sites
 from headwater.plans.tables import daily, table
@@ -64,7 +65,8 @@ def _left_out(s, d):
 
 
 QUERIES = {
-    "f24_probability_transfer": lambda s, d: rounded(E.probability_transfer(daily(s, d).filter("site = 'ASIA'"), daily(s, d).filter("site = 'EUROPE'"))),
+    "f24_probability_transfer": lambda s, d: rounded(E.probability_transfer(daily(s, d), daily(s, d), E.best_donors(daily(s, d)))),
+    "c6_transfer_scores": lambda s, d: rounded(E.transfer_scores(daily(s, d), SEASONS)),
     "g20_fit_gls": lambda s, d: rounded(E.fit_gls(_gages(s, d), ("log_area", "lat"), 0.2)),
     "g21_regional_skew": lambda s, d: rounded(E.regional_skew(sites(s, d).select(F.substring("code", 8, 1).alias("region"), "site", (F.col("log_flow") - 3).alias("skew"), (F.lit(20) + F.length("site")).alias("n"), F.log10("area").alias("log_area")), ("log_area",), 0.1)),
     "g23_fit_dissimilarity": lambda s, d: rounded(E.fit_dissimilarity(T.transfer_pairs(gages(s, d), connections(s, d), 0.7).withColumn("group", F.lit("all")))),

@@ -51,6 +51,7 @@ QUERIES = {
     "c3_flow_and_stage": lambda s, d: rounded(_flow_stage(s, d)),
     "c4_rank_donors": lambda s, d: rounded(X.rank_donors(_ASIA(s, d), _OTHER(s, d))),
     "c5_lag_profile": lambda s, d: rounded(X.lag_profile(_ASIA(s, d), daily(s, d).filter("site = 'EUROPE'"), 10)),
+    "c5_best_lag": lambda s, d: rounded(X.best_lag(X.lag_profile(daily(s, d), daily(s, d), 45))),
     "c7_extension_statistics": lambda s, d: rounded(X.extension_statistics(monthly_peaks(s, d).filter("year > 30 AND year < 70"), monthly_peaks(s, d))),
     "c8_concurrent_relation": lambda s, d: rounded(X.concurrent_relation(monthly_peaks(s, d).filter("site = 'ASIA'"), monthly_peaks(s, d).filter("site <> 'ASIA'"))),
     "c9_naturalize": lambda s, d: rounded(_naturalize(s, d)),
@@ -124,6 +125,7 @@ h AS (SELECT site, date_trunc('hour', ts) AS ts, max(value) AS value, CASE WHEN
 SELECT 'x' AS site, coalesce(a.ts, b.ts) AS ts, a.value AS flow, b.value AS stage, coalesce(a.code, b.code) AS code, a.code IS NOT NULL AND b.code IS NOT NULL AND a.code <> b.code AS conflict
 FROM (SELECT * FROM h WHERE site = 'view') a FULL JOIN (SELECT * FROM h WHERE site = 'click') b ON a.ts = b.ts""", "flow stage"),
     "c4_rank_donors": sql(_PAIR + _RANK.format(k="donor", t="pr") + "SELECT site, donor, count(*) AS n_concurrent, corr(log10(y), log10(x)) AS pearson_log, corr(ry, rx) AS spearman, count(*) >= 365 AS sufficient FROM rk GROUP BY ALL", "pearson_log spearman"),
+    "c5_best_lag": sql("lg AS (SELECT a.site || '|' || b.site AS pair, k AS lag_days, a.flow AS y, b.flow AS x FROM daily b, unnest(range(-45, 46)) AS r(k), daily a WHERE a.site <> b.site AND a.date = (b.date + k::INT)::DATE),\n" + "rk2 AS (SELECT *, rank() OVER (PARTITION BY pair, lag_days ORDER BY y) + (count(*) OVER (PARTITION BY pair, lag_days, y) - 1) / 2 AS ry, rank() OVER (PARTITION BY pair, lag_days ORDER BY x) + (count(*) OVER (PARTITION BY pair, lag_days, x) - 1) / 2 AS rx FROM lg),\nsp AS (SELECT pair, lag_days, corr(ry, rx) AS spearman, count(*) AS n_concurrent FROM rk2 GROUP BY ALL)\n--\nSELECT split_part(pair, '|', 1) AS site, split_part(pair, '|', 2) AS donor, lag_days, spearman, n_concurrent FROM sp QUALIFY row_number() OVER (PARTITION BY pair ORDER BY spearman DESC, abs(lag_days), lag_days DESC) = 1", "spearman", "lag_days"),
     "c5_lag_profile": sql("lg AS (SELECT a.site, b.site AS donor, k AS lag_days, a.flow AS y, b.flow AS x FROM daily b, unnest(range(-10, 11)) AS r(k), daily a WHERE a.site = 'ASIA' AND b.site = 'EUROPE' AND a.date = (b.date + k::INT)::DATE)\n--\n" + _RANK.format(k="lag_days", t="lg") + "SELECT site, donor, lag_days, corr(ry, rx) AS spearman, count(*) AS n_concurrent FROM rk GROUP BY ALL", "spearman"),
     "c7_extension_statistics": sql("""
 yy AS (SELECT site, year, log10(flow) AS y FROM mpeaks WHERE year > 30 AND year < 70)

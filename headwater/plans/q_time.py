@@ -47,6 +47,7 @@ QUERIES = {
     "d34_pot_counts": lambda s, d: rounded(T.pot_counts(daily(s, d, "nation"), 60.0, 7, 150)),
     "d34_pot_events": lambda s, d: rounded(T.pot_events(daily(s, d, "nation"), 60.0, 7, 150)),
     "d35_count_trend": lambda s, d: rounded(T.count_trend(T.pot_counts(daily(s, d, "nation"), 60.0, 7, 150))),
+    "d34_pot_threshold": lambda s, d: rounded(T.pot_threshold(daily(s, d), 6.0, min_days=200, min_years=2)),
     "d36_mixed_population": lambda s, d: rounded(_mixed(s, d)),
     "d37_attribute_change": lambda s, d: rounded(_attribute(s, d)),
     "d26_d28_d30_d31_d39_screen": lambda s, d: rounded(T.screen(monthly_peaks(s, d), 199)),
