@@ -111,10 +111,10 @@ def test_pieces_give_the_same_anchors(rows, monkeypatch):
         s = suffixes.Suffixes(table)
         for code in (1, 2):
             s.items(np.full(len(s.distinct), code, np.uint8), 5)
-            cover = np.zeros(len(s.buf) + 1, int)
+            starts = np.zeros(len(s.buf) + 1, int)
             for p, lo, hi in zip(s.ip, s.ilo, s.ihi):
-                cover[p - hi : p - lo + 1] += 1
-            made.append((sorted(Counter(cover.tolist()).items()), [(bytes(x), int(q), int(d)) for x, q, d in zip(s.rows, s.q, s.least)]))
+                starts[p - hi : p - lo + 1] += 1
+            made.append((sorted(Counter(starts.tolist()).items()), [(bytes(x), int(q), int(d)) for x, q, d in zip(s.rows, s.q, s.least)]))
         w = cover.Words(table)
         made.append((sorted(w.h.tolist()), w.distinct.tolist()))
     assert made[:3] == made[3:6] == made[6:]
