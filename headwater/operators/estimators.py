@@ -39,18 +39,18 @@ def probability_transfer(target: DataFrame, donor: DataFrame, pairs: DataFrame,
         none = pd.DataFrame(columns=["site", "donor", "date", "flow"])
         if not len(t) or not len(d):
             return none
-        lt, zt = curve(t["flow"].to_numpy(float))
-        ld, zd = curve(d["flow"].to_numpy(float))
+        lt, zt = curve(t["known"].to_numpy(float))
+        ld, zd = curve(d["had"].to_numpy(float))
         if not len(lt) or not len(ld):
             return none
-        x = d["flow"].to_numpy(float)
+        x = d["had"].to_numpy(float)
         z = np.interp(np.log10(np.maximum(x, 1e-300)), ld, zd)
-        return pd.DataFrame({"site": t["site"].iloc[0], "donor": d["donor"].iloc[0], "date": d["date"], "flow": np.where(x > 0, 10 ** np.interp(z, zt, lt), 0.0)})
+        return pd.DataFrame({"site": t["to"].iloc[0], "donor": d["of"].iloc[0], "date": d["day"], "flow": np.where(x > 0, 10 ** np.interp(z, zt, lt), 0.0)})
 
     part = F.lit("") if groups is None else season(F.col("date"), groups)
     key = F.concat_ws("|", "site", "donor", part).alias("pair")
-    left = target.filter("flow IS NOT NULL").join(pairs.select("site", "donor"), "site").select(key, "site", "date", "flow")
-    right = donor.filter("flow IS NOT NULL").withColumnRenamed("site", "donor").join(pairs.select("site", "donor"), "donor").select(key, "donor", "date", "flow")
+    left = target.filter("flow IS NOT NULL").join(pairs.select("site", "donor"), "site").select(key, F.col("site").alias("to"), F.col("flow").alias("known"))
+    right = donor.filter("flow IS NOT NULL").withColumnRenamed("site", "donor").join(pairs.select("site", "donor"), "donor").select(key, F.col("donor").alias("of"), F.col("date").alias("day"), F.col("flow").alias("had"))
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "site string, donor string, date date, flow double")
 
 
