@@ -83,8 +83,8 @@ def scan(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFra
         table = F.broadcast(table)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     n = F.size("words")
-    # a place has its own few words, never its document's; place -1 stands for the document itself
-    place = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram"), F.slice("words", i + 1, most).alias("here"))
+    # a place has its own few words (slice would copy the whole text each time); place -1 stands for the document itself
+    place = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram"), F.array(*(F.get("words", i + j) for j in range(most))).alias("here"))
     itself = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("gram"), F.array().cast("array<string>").alias("here"))
     places = F.when(n >= GRAM, F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), n - GRAM), place))).otherwise(F.array(itself))
     each = base.select("doc_id", "text_hash", n.alias("n"), F.explode(places).alias("x")).select("doc_id", "text_hash", "n", "x.at", "x.gram", "x.here")

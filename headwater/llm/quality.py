@@ -34,7 +34,9 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = docs.select("*", F.array_remove(F.split(text, WHITE), "").alias("__words"), lines.alias("__lines"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("__n_symbols"))
     n = F.size("__words")
-    hashes = F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.xxhash64(F.slice("__words", i, GRAM)))).otherwise(F.array().cast("array<bigint>"))
+    # word by word: slice would copy the whole text for each window
+    window = lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(GRAM)))
+    hashes = F.when(n >= GRAM, F.transform(F.sequence(F.lit(0), n - GRAM), window)).otherwise(F.array().cast("array<bigint>"))
     two = one.select(
         *(F.col(f"`{c}`") for c in docs.columns),
         "__n_symbols",
