@@ -13,27 +13,29 @@ from headwater.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null or empty text fails the base rules; repeated rows stay or go
+    together; an empty table stays empty."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One row of each near-duplicate class stays, of repeated rows as well; texts without words are classes of their own."""
     return omh.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; an empty benchmark removes none, a null text has no windows."""
     return wumanber.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark."""
+    """Secrets in the texts are replaced by a mark; null texts stay null, n_chars follows, no row goes."""
     return crf.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, as pieces of sequences."""
+    """All documents, as pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or
+    empty text is one piece of its end mark; an empty table has no pieces."""
     return packing.pack(docs, with_ids=False).drop("ids")
 
 

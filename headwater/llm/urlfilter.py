@@ -7,6 +7,8 @@ the full digest confirms, and the longest rule decides.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +55,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     shapes = ours.select(F.size(F.split("r_host", r"\.", -1)).alias("labels"), F.length("r_path").alias("chars")).distinct().collect()
     text = F.concat("r_host", "r_path")
     ours = ours.select("*", text.alias("r_rule"), F.sha2(text, 256).alias("r_digest")).withColumn("prefix", F.substring("r_digest", 1, PREFIX))
-    expressions = [
-        F.when((F.size(F.split("host", r"\.", -1)) >= s["labels"]) & (F.length("path") >= s["chars"]), F.concat(F.substring_index("host", ".", -s["labels"]), F.substring("path", 1, s["chars"])))
-        for s in shapes
-    ]
-    if not expressions:
+    if not shapes:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     distinct = urls.filter("host <> ''").select("host", "path").distinct()
-    each = distinct.select("*", F.explode(F.array_compact(F.array(*expressions))).alias("expression"))
+    # the shapes are one literal, however many there are
+    table = F.from_json(F.lit(json.dumps([[s["labels"], s["chars"]] for s in shapes])), "array<array<int>>")
+    fits = F.filter(table, lambda s: (F.size(F.split("host", r"\.", -1)) >= s[0]) & (F.length("path") >= s[1]))
+    expressions = F.transform(fits, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s[0]), F.substring(F.col("path"), F.lit(1), s[1])))
+    each = distinct.select("*", F.explode(expressions).alias("expression"))
     each = each.select("host", "path", F.sha2("expression", 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX))
     found = each.join(ours, "prefix").filter("digest = r_digest")
     order = F.struct(F.length("r_rule").alias("a"), F.length("r_host").alias("b"), (F.col("r_verdict") == "block").alias("c"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict"))

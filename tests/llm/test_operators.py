@@ -461,6 +461,39 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], SCHEMA)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (quality.keep(none), omh.first_of_each(none), wumanber.clean(none, bench), crf.redact(none)):
+        assert df.columns == none.columns and df.count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_long_texts(spark):
+    """One very long text among short ones, for the operators that have no test of it above."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(20_000)}" for _ in range(60_000)]
+    mark = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join([*words[:50_000], mark, "the mit license token=abcdefgh1234", *words[50_000:]])
+    near = long.replace(" w1 ", " changed ")
+    d = spark.createDataFrame([(1, long, "en", "a"), (2, near, "en", "a"), (3, mark, "en", "a")], "doc_id long, text string, lang string, source string")
+    n = len(long.split())
+    assert {x.doc_id: (x.n_base, x.first_word) for x in licenses.scan(d, licenses.template_table(spark)).collect()} == {1: (1, 50_010), 2: (1, 50_010), 3: (0, None)}
+    assert {x.doc_id: x.class_id for x in omh.classes(d).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {x.doc_id: (x.n_words, x.kept) for x in quality.scores(d).collect()} == {1: (n, True), 2: (n, True), 3: (10, False)}
+    bench = spark.createDataFrame([(7, mark)], "item_id long, text string")
+    assert {x.doc_id: (x.n_hit, x.n_items) for x in wumanber.contamination(d, bench).collect()} == {1: (10, 1), 2: (10, 1), 3: (10, 1)}
+    at = long.index("token=")
+    assert {x.doc_id: [tuple(s) for s in x.spans if s.kind == "assign"] for x in crf.scan(d).filter("doc_id <> 2").collect()} == {1: [("assign", at, at + 18)], 3: []}
+    url = "http://a.example.com/en/7" + "x" * 200_000
+    (got,) = urlfilter.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), urlfilter.rule_table(spark)).collect()
+    assert (got.rule, got.verdict) == ("example.com/en/7", "allow")
+
+
 def test_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     d = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string")
