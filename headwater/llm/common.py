@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Hash values that `sieved` tells apart.
+SIEVE_BITS = 24
 _OWN: dict[str, str] = {}
 
 
@@ -56,6 +58,24 @@ def settled(df: DataFrame) -> DataFrame:
     return materialize(df, "settled") if "Exchange" in plan else df
 
 
+def sieved(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among ids, rows whose id isn't), both with the columns of docs.
+
+    A bit for each of 2^SIEVE_BITS hash values goes to every task: SIEVE_BITS bits never take more than 2 MB, however many
+    ids there are. Rows that need a join are thus told from most that don't before texts are shuffled; the join itself
+    must still compare ids. ids: a table of one column, whatever its name.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    each = ids.select(place(F.col(ids.columns[0])).alias("p")).select(F.shiftright("p", 15).alias("__page"), F.col("p").bitwiseAND(32767).alias("bit"))
+    pages = materialize(each.groupBy("__page").agg(F.bitmap_construct_agg("bit").alias("__bits")), "sieve")
+    own = [f"`{c}`" for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("__row"), place(F.col(f"`{column}`")).alias("__place"))
+    rows = rows.join(F.broadcast(pages), F.shiftright("__place", 15) == F.col("__page"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(F.col("__place").bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, F.col("__place").bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return rows.filter(hit).select("__row.*"), rows.filter(~hit).select("__row.*")
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts; one aggregate over the column, to size blocks."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import byte_values, materialize
+from headwater.llm.common import byte_values, materialize, sieved
 from headwater.llm.cover import grams, mix, word_hashes
 from headwater.llm.wumanber import words
 
@@ -393,7 +393,8 @@ def _classes(rows: DataFrame, docs: DataFrame, similarity: float, block_docs: in
     single = rows.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
     single = materialize(single, "words")
     every = candidates(single, common)
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(every.select("doc"), "doc").dropDuplicates(["doc"])
+    some, _ = sieved(docs.select("doc_id", "text"), every.select("doc"))
+    texts = some.withColumnRenamed("doc_id", "doc").join(every.select("doc"), "doc").dropDuplicates(["doc"])
     texts = materialize(texts, "texts")
     member = materialize(homes(every, similarity, common, block_docs), "members")
     heads = member.select(F.col("home").alias("doc"), "home", "part").distinct()
@@ -433,8 +434,9 @@ def first_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = materialize(features(docs), "sketches")
     label = materialize(_classes(rows, docs, similarity).select("doc_id", "class_id"), "classes")
-    gone = label.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialize(label.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    some, left = sieved(docs, gone)
+    left = left.unionAll(some.join(gone, some["doc_id"] == gone["__gone"], "left_anti"))
     again = label.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again")
     if again.limit(1).count():
         once = docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"])

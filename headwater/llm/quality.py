@@ -114,7 +114,8 @@ def cutoffs(rows: DataFrame) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """rows (from measured) joined with their group's cut-offs; adds __base_failed and __kept."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    cuts = cutoffs(rows).select(F.col("l").alias("__l"), F.col("s").alias("__s"), *(f"__cut{k}" for k in range(len(RULES))))
+    cuts = materialize(cutoffs(rows), "cutoffs")  # a table of known size: the engine sends it whole if it is small
+    cuts = cuts.select(F.col("l").alias("__l"), F.col("s").alias("__s"), *(f"__cut{k}" for k in range(len(RULES))))
     joined = rows.join(cuts, (key("lang") == F.col("__l")) & (key("source") == F.col("__s")), "left")
     measures, out = ratios(), F.lit(False)
     for k, (m, side) in enumerate(RULES):

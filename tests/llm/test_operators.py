@@ -130,6 +130,18 @@ def test_substring_dedup(docs, rows, block):
         assert (got[i].n_words, got[i].n_removed, got[i].kept.encode(), got[i].kept_sha256) == (len(w), sum(gone[i]), kept, hashlib.sha256(kept).hexdigest())
 
 
+def test_sieve_parts_rows_by_id(spark):
+    d = spark.createDataFrame([(i, str(i)) for i in range(-3000, 3000)] + [(None, "x"), (7, "again")], "doc_id long, __of string")
+    ids = spark.createDataFrame([(i,) for i in range(-3000, 3000, 7)], "k long")
+    some, rest = common.sieved(d, ids)
+    wanted = set(range(-3000, 3000, 7))
+    a, b = [r.doc_id for r in some.collect()], [r.doc_id for r in rest.collect()]
+    assert some.columns == d.columns and len(a) + len(b) == 6002 and all(r["__of"] in (str(r.doc_id), "x", "again") for r in some.collect())
+    assert wanted <= set(a) and not wanted & set(b) and len(a) < len(wanted) + 50
+    none, every = common.sieved(d, ids.filter("false"))
+    assert not none.count() and every.count() == 6002
+
+
 def test_repeated_rows_fill_no_block(spark, tmp_path):
     spark.createDataFrame([(None, "same words here")] * 2000, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     parts, _ = blocks.in_blocks(spark.read.parquet(f"{tmp_path}/d"), 3000)
