@@ -11,6 +11,11 @@ from headwater.functions import censored as C
 from headwater.functions import special as S
 from headwater.operators.lowflow import adjusted_skew
 
+def by_site(rows: DataFrame):
+    """Groups by site over as many tasks as a shuffle has: records are small and fits are not, so bytes don't count."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site").groupBy("site")
+
+
 AEPS = (0.99, 0.9, 0.5, 0.2, 0.1, 0.04, 0.02, 0.01, 0.005, 0.002)
 RESULT = "site string, n long, mean_log double, std_log double, skew double, station_skew double, n_low long, threshold double, iterations long, aep double, flow double, lower double, upper double, variance_log double, error string"
 
@@ -42,7 +47,7 @@ def fit_intervals(rows: DataFrame, regional_skew: float | None = None, regional_
             out = [(site, len(part), *[None] * 12, str(e))]
         return pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("site").applyInPandas(run, RESULT)
+    return by_site(rows).applyInPandas(run, RESULT)
 
 
 def fit_peaks(peaks: DataFrame, **options) -> DataFrame:
@@ -97,7 +102,7 @@ def analyse(peaks: DataFrame, regional: DataFrame | None = None, thresholds: Dat
                 out = [(site, len(x), *[None] * 12, str(e))]
         return pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy("site").applyInPandas(run, RESULT)
+    return by_site(rows).applyInPandas(run, RESULT)
 
 
 def log_moments(peaks: DataFrame) -> DataFrame:
@@ -153,4 +158,4 @@ def bootstrap_limits(values: DataFrame, non_exceedance: tuple[float, ...] = (0.1
                 out.append((site, p, *np.quantile(d, [(1 - confidence) / 2, (1 + confidence) / 2]).tolist(), len(d)))
         return pd.DataFrame(out, columns=["site", "non_exceedance", "lower", "upper", "n_used"])
 
-    return values.groupBy("site").applyInPandas(run, "site string, non_exceedance double, lower double, upper double, n_used long")
+    return by_site(values).applyInPandas(run, "site string, non_exceedance double, lower double, upper double, n_used long")

@@ -224,3 +224,118 @@ def test_field_bootstrap_draws_blocks(spark):
     whole = trend.field_bootstrap(values, block_length=20).first()
     assert whole.n_sites == 2 and whole.p_value == 1.0
     assert trend.field_bootstrap(values).first().p_value < 1.0
+
+
+# Published fits of two public gages (see the query's module): station and weighted skew, error of the skew.
+PUBLISHED = {"06327450": (11, -0.70789, -0.60417, 0.221189), "03606500": (0, 0.0066, -0.15631, 0.094375)}
+
+
+@pytest.mark.parametrize("site", sorted(PUBLISHED))
+def test_published_fits(site):
+    from headwater.plans import q_dimensions as K
+
+    flows = [float(x) for x in K.PEAKS[site].split()]
+    tl = [1e-20] * len(flows)
+    lower, upper = flows[:], flows[:]
+    if site == "03606500":
+        historic = [float(x) for x in K.HISTORIC.split()]
+        lower += historic + [1e-20] * K.CENSORED_YEARS
+        upper += historic + [K.THRESHOLD] * K.CENSORED_YEARS
+        tl += [K.THRESHOLD] * (len(historic) + K.CENSORED_YEARS)
+    logs = [np.log10(x) for x in (lower, upper, tl)]
+    f = C.fit(logs[0], logs[1], *K.REGIONAL[site], tl=logs[2], tu=np.full(len(tl), 20.0))
+    low, station, weighted, mse = PUBLISHED[site]
+    assert f.n_low == low and f.station_skew == pytest.approx(station, abs=3e-3) and f.skew == pytest.approx(weighted, abs=3e-4) and f.skew_mse == pytest.approx(mse, rel=2e-3)
+    alone = C.fit(logs[0], logs[1], *K.REGIONAL[site], tl=logs[2], tu=np.full(len(tl), 20.0), option="regional")
+    assert alone.skew == pytest.approx(K.REGIONAL[site][0], abs=1e-6)
+    assert C.fit(logs[0], logs[1], *K.REGIONAL[site], tl=logs[2], tu=np.full(len(tl), 20.0), option="station").skew == f.station_skew
+
+
+def test_outlier_probability_against_simulation():
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.standard_normal((40_000, 20)), axis=1)
+    for rank, w in ((1, -3.0), (3, -2.2), (6, -1.6)):
+        above = x[:, rank:]
+        share = ((x[:, rank - 1] - above.mean(axis=1)) / above.std(axis=1, ddof=1) <= w).mean()
+        assert C.outlier_p(20, rank, w) == pytest.approx(share, abs=0.012)
+
+
+def test_region_moments_against_the_whole():
+    from headwater.functions import moments as M
+
+    for g in (-1.3, -0.1, 0.07, 0.9):
+        p, m = M.region(-math.inf, math.inf, 2.0, 0.5, g, 3)
+        assert p == pytest.approx(1, abs=1e-6) and M.central(m) == pytest.approx((2.0, 0.25, g), rel=1e-4)
+        assert M.region(-math.inf, 2.3, 2.0, 0.5, g, 1)[0] == pytest.approx(S.pearson3_cdf(2.3, 2.0, 0.5, g), abs=1e-6)
+    whole = ((50.0, -math.inf, math.inf),)
+    assert M.raw_covariance(whole, 0.5)[0, 0] == pytest.approx(1 / 50, rel=1e-9)
+    assert M.skew_error(((30.0, -math.inf, math.inf), (60.0, 1.2, math.inf)), 0.3) < M.skew_error(((30.0, -math.inf, math.inf),), 0.3)
+
+
+def test_guards_refuse(spark):
+    from headwater.operators import dimensions as D
+
+    sites = spark.createDataFrame([("a", "regulated", "12345678"), ("b", "urban", "12345678")], "site string, class string, code string")
+    assert D.catalog(sites).count() == 2
+    for bad in (sites.unionAll(sites.limit(1)), sites.withColumn("class", F.lit("odd")), sites.withColumn("code", F.lit("123"))):
+        with pytest.raises(Exception, match="repeated|unknown class|8 digits"):
+            D.catalog(bad).collect()
+    with pytest.raises(Exception, match="regulated record"):
+        D.require_unregulated(sites).collect()
+    pair = spark.createDataFrame([("regulated", "urban")], "donor_class string, target_class string")
+    with pytest.raises(Exception, match="an unregulated"):
+        D.check_transfer(pair).collect()
+    assert D.check_transfer(pair, allow=True).first().regulation_override
+    rules = spark.createDataFrame([("01", ["A", "B"], 1.0), ("01", ["B"], 2.0)], "prefix string, states array<string>, value double")
+    with pytest.raises(Exception, match="two rules"):
+        D.rule_table(rules).collect()
+    peaks = spark.createDataFrame([("a", 1990, 5.0, 4.0)], "site string, year int, lower double, upper double")
+    for check in (D.interval_peaks, D.perception_bounds):
+        with pytest.raises(Exception, match="invalid|above its upper"):
+            check(peaks).collect()
+    with pytest.raises(Exception, match="not given here"):
+        spark.range(1).select(D.high_boundary_ft(F.lit(41.5))).collect()
+    dry = spark.createDataFrame([("a", 0.1, 0.0, 0.2, "sand", 1.0, 1.0)], "site string, non_exceedance double, flow double, p_zero double, setting string, donor_area double, target_area double")
+    with pytest.raises(Exception, match="goes dry"):
+        D.transpose_low_flow(dry, spark.createDataFrame([(0.1, 1.0)], "non_exceedance double, b double")).collect()
+
+
+def test_finer_units_with_other_values_are_refused(spark):
+    rules = spark.createDataFrame([("05", "x"), ("0501", "y")], "prefix string, value string")
+    fine = spark.createDataFrame([("a", "05011234"), ("b", "05021234")], "site string, code string")
+    assert {r.site: r.value for r in P.longest_prefix(fine, rules).collect()} == {"a": "y", "b": "x"}
+    with pytest.raises(Exception, match="units within"):
+        P.longest_prefix(spark.createDataFrame([("c", "05")], "site string, code string"), rules).collect()
+    with pytest.raises(Exception, match="several values"):
+        P.longest_prefix(fine, rules.union(spark.createDataFrame([("05", "z")], rules.schema))).collect()
+
+
+def test_season_of_peaks(spark):
+    from headwater.operators import trend
+
+    rows = spark.createDataFrame([("a", date(2001, 1, 1)), ("a", date(2002, 12, 31)), ("b", date(2001, 4, 2)), ("b", date(2001, 10, 1))], "site string, date date")
+    got = {r.site: r for r in trend.mixed_population(rows).collect()}
+    assert got["a"].cool_share == 1.0 and not got["a"].mixed and got["a"].concentration > 0.99 and min(got["a"].mean_day, 365.25 - got["a"].mean_day) < 1
+    assert got["b"].cool_share == 0.5 and got["b"].mixed and got["b"].concentration < 0.01
+
+
+def test_dams_and_inventory(spark, tmp_path):
+    from headwater.operators import dimensions as D
+
+    (tmp_path / "nid.csv").write_text('Data Last Updated:,2024-5-1\n"NID ID",Longitude,Latitude,Storage\nD1,-114.0,42.0,10\nD1,-114.0,42.0,12\n,-113.5,42.5,5\n,-113.5,42.5,5\nD2,,42,7\n')
+    names = {"NID ID": "dam_id", "Longitude": "lon", "Latitude": "lat", "Storage": "storage"}
+    assert sorted((r.dam_id or "", r.storage) for r in D.read_dams(spark, str(tmp_path / "nid.csv"), names).collect()) == [("", 5.0), ("", 5.0), ("D1", 10.0)]
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        D.read_dams(spark, str(tmp_path / "other.csv"), names)
+
+
+def test_regional_skew_recovers_a_plane(spark):
+    from headwater.operators import estimators
+
+    rng = np.random.default_rng(5)
+    rows = [("r", f"s{i}", float((0.1 + 0.3 * x + rng.normal(0, 0.05)) / (1 + 6 / 400)), 400, float(x)) for i, x in enumerate(np.linspace(-1, 1, 60))]
+    d = spark.createDataFrame(rows, "region string, site string, skew double, n int, x double")
+    got = {r.term: r for r in estimators.regional_skew(d, ("x",)).collect()}
+    assert got["constant"].coef == pytest.approx(0.1, abs=0.04) and got["x"].coef == pytest.approx(0.3, abs=0.06)
+    assert got["x"].model_variance < 0.02 and got["x"].effective_years > 200
