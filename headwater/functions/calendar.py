@@ -57,6 +57,19 @@ def local_time(ts: Column, zone: str) -> Column:
     return F.from_utc_timestamp(ts, zone)
 
 
+# Zones of standard-time abbreviations that observe daylight saving time, and offsets of those that don't.
+DST_ZONES = {"EST": "America/New_York", "CST": "America/Chicago", "MST": "America/Denver", "PST": "America/Los_Angeles", "AKST": "America/Anchorage", "HST": "Pacific/Honolulu", "AST": "America/Puerto_Rico"}
+STANDARD_HOURS = {"UTC": 0, "GMT": 0, "EST": -5, "CST": -6, "MST": -7, "PST": -8, "AKST": -9, "HST": -10, "AST": -4, "SST": -11, "ChST": 10}
+
+
+def zone_of(abbreviation: Column, uses_dst: Column) -> Column:
+    """Named zone, or offset, of a standard-time abbreviation and a flag (Y or N). Unknown ones raise: none is guessed."""
+    name = F.create_map(*(F.lit(x) for kv in DST_ZONES.items() for x in kv))[F.trim(abbreviation)]
+    offset = F.create_map(*(F.lit(x) for k, h in STANDARD_HOURS.items() for x in (k, f"{h:+03d}:00")))[F.trim(abbreviation)]
+    found = F.when(F.upper(F.trim(uses_dst)) == "Y", name).when(F.upper(F.trim(uses_dst)) == "N", offset)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no zone for "), F.coalesce(abbreviation, F.lit("null")), F.lit(", "), F.coalesce(uses_dst, F.lit("null")))))
+
+
 def local_day_hours(day: Column, zone: str) -> Column:
     """Hours of a local day: 23, 24 or 25."""
     at = lambda d: F.unix_timestamp(F.to_utc_timestamp(d.cast("timestamp"), zone))

@@ -258,6 +258,32 @@ def exponent_at(z: Column, points: list[tuple[float, float]], outside: str = "cl
     return F.when(z < points[0][0], points[0][1] if outside == "clamp" else line(points[0], points[1])).otherwise(out)
 
 
+def smooth_exponent_at(z: Column, points: list[tuple[float, float]]) -> Column:
+    """Exponent at a normal deviate by a cubic between points that keeps their order (no overshoot); held beyond them.
+
+    The slope at a point is the weighted harmonic mean of its neighbours', 0 where they differ in sign; at the ends a
+    one-sided three-point slope, held within three times the neighbour's.
+    """
+    points = sorted(points)
+    if len(points) < 3:
+        return exponent_at(z, points)
+    h = [b[0] - a[0] for a, b in zip(points, points[1:])]
+    d = [(b[1] - a[1]) / w for (a, b), w in zip(zip(points, points[1:]), h)]
+
+    def end(h0: float, h1: float, d0: float, d1: float) -> float:
+        m = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        return 0.0 if m * d0 <= 0 else 3 * d0 if d0 * d1 < 0 and abs(m) > 3 * abs(d0) else m
+
+    inner = [0.0 if a * b <= 0 else (3 * (x + y)) / ((2 * y + x) / a + (y + 2 * x) / b) for a, b, x, y in zip(d, d[1:], h, h[1:])]
+    slopes = [end(h[0], h[1], d[0], d[1]), *inner, end(h[-1], h[-2], d[-1], d[-2])]
+    out = F.lit(points[-1][1])
+    for p, q, w, m0, m1 in reversed(list(zip(points, points[1:], h, slopes, slopes[1:]))):
+        t = (z - p[0]) / w
+        cubic = p[1] * (1 + 2 * t) * (1 - t) ** 2 + w * m0 * t * (1 - t) ** 2 + q[1] * t * t * (3 - 2 * t) + w * m1 * t * t * (t - 1)
+        out = F.when(z <= q[0], cubic).otherwise(out)
+    return F.when(z < points[0][0], points[0][1]).otherwise(out)
+
+
 def leave_one_out(pairs: DataFrame, gages: DataFrame, correlation: float = 0.0, level: float = 0.9) -> DataFrame:
     """Each connected gage estimated from its neighbours and its regression as if it had no record, and scored.
 

@@ -118,6 +118,21 @@ def moment_quantiles(peaks: DataFrame, aeps: tuple[float, ...] = AEPS) -> DataFr
     return rows.select("site", "aep", k.alias("k"), F.pow(F.lit(10.0), F.col("mean_log") + k * F.col("std_log")).alias("flow"))
 
 
+def conditional_moment_quantiles(peaks: DataFrame, aeps: tuple[float, ...] = AEPS) -> DataFrame:
+    """Method of moments without the peaks below the single low-outlier cut, at probabilities raised by their share.
+
+    A probability that would reach 1 has no quantile (null); sites with fewer than 3 peaks above the cut have no row.
+    """
+    from headwater.operators.peaks import low_outlier_cut
+
+    cut = low_outlier_cut(peaks).select("site", F.col("n").alias("n_all"), "cut")
+    above = peaks.filter("flow > 0").join(cut, "site").filter("flow >= cut")
+    m = log_moments(above.select("site", "flow")).filter("n >= 3").join(cut, "site")
+    rows = m.withColumn("aep", F.explode(F.array(*(F.lit(float(a)) for a in aeps)))).withColumn("conditional", F.col("aep") * F.col("n_all") / F.col("n"))
+    k = S.k_factor("skew", F.when(F.col("conditional") < 1, F.col("conditional")))
+    return rows.select("site", "aep", (F.col("n_all") - F.col("n")).alias("n_low"), "conditional", F.pow(F.lit(10.0), F.col("mean_log") + k * F.col("std_log")).alias("flow"))
+
+
 def compare(a: DataFrame, b: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
     """Percent difference of two fits' flows by site and aep, and whether all are within the tolerance."""
     rows = a.select("site", "aep", F.col("flow").alias("a")).join(b.select("site", "aep", F.col("flow").alias("b")), ["site", "aep"])

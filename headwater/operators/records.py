@@ -78,12 +78,14 @@ def best_lag(profile: DataFrame) -> DataFrame:
     return profile.groupBy("site", "donor").agg(F.max_by(F.struct("lag_days", "spearman", "n_concurrent"), by).alias("x")).select("site", "donor", "x.*")
 
 
-def concurrent_relation(short: DataFrame, index: DataFrame) -> DataFrame:
-    """Median ratio, log deviation and correlation over the first and second half of the concurrent years, and all."""
+def concurrent_relation(short: DataFrame, index: DataFrame, split_year: int | None = None) -> DataFrame:
+    """Median ratio, log deviation and correlation over the first and second half of the concurrent years, and all; with a
+    split year, before it and from it on."""
     pairs = concurrent(short, index, "year").filter("y > 0 AND x > 0")
     by = Window.partitionBy("site", "donor")
     pairs = pairs.withColumn("k", F.row_number().over(by.orderBy("year")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    half = F.when(F.col("k") < F.floor(F.col("n") / 2), "first").otherwise("second")
+    early = F.col("k") < F.floor(F.col("n") / 2) if split_year is None else F.col("year") < split_year
+    half = F.when(early, "first").otherwise("second")
     rows = pairs.withColumn("part", F.explode(F.array(half, F.lit("all")))).withColumn("ratio", F.log10("y") - F.log10("x"))
     return rows.groupBy("site", "donor", "part").agg(
         F.min("year").alias("start"), F.max("year").alias("end"), F.count(F.lit(1)).alias("n"), F.pow(F.lit(10.0), F.median("ratio")).alias("median_ratio"), F.stddev_samp("ratio").alias("ratio_log_sd"),

@@ -103,6 +103,32 @@ def evaluate(equations: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("site", "equation", "aep", log.alias("log_flow"), F.pow(F.lit(10.0), log).alias("flow"))
 
 
+def estimate(equations: DataFrame, values: DataFrame, limits: DataFrame | None = None, level: float = 0.9, extrapolate: bool = False) -> DataFrame:
+    """Flows of evaluate with the equation's bias correction and a prediction interval of this level.
+
+    equations also have bias_correction, sep_log (standard error of prediction of the log) and n_sites (or nulls). The
+    interval uses Student's t with n_sites less the number of terms and one, where there are so many sites, else the
+    normal quantile; none without an error. limits (region, code, lo, hi): a characteristic outside raises, or is
+    flagged where extrapolation is allowed.
+    """
+    from headwater.functions.special import normal_deviate, t_deviate
+
+    facts = equations.select("equation", F.coalesce("bias_correction", F.lit(1.0)).alias("bias"), "sep_log", "n_sites", F.size("terms").alias("n_terms"))
+    rows = evaluate(equations, values).join(facts, "equation")
+    if limits is not None:
+        beyond = out_of_range(values, limits).groupBy("site").agg(F.array_sort(F.collect_set("code")).alias("beyond"))
+        rows = rows.join(beyond, "site", "left").withColumn("extrapolated", F.array_join(F.coalesce("beyond", F.array().cast("array<string>")), ","))
+        outside = F.col("extrapolated") != ""
+        if not extrapolate:
+            rows = rows.withColumn("log_flow", F.when(outside, F.raise_error(F.concat(F.lit("outside the equation's limits: "), "site", F.lit(" "), "extrapolated"))).otherwise(F.col("log_flow")))
+    else:
+        rows = rows.withColumn("extrapolated", F.lit(""))
+    p, freedom = F.lit((1 + level) / 2), F.col("n_sites") - F.col("n_terms") - 1
+    quantile = F.when(freedom > 0, t_deviate(p, F.greatest(F.coalesce(freedom, F.lit(1)), F.lit(1)))).otherwise(normal_deviate(p))
+    flow, factor = F.col("bias") * F.pow(F.lit(10.0), F.col("log_flow")), F.pow(F.lit(10.0), quantile * F.col("sep_log"))
+    return rows.select("site", "equation", "aep", "log_flow", flow.alias("flow"), (flow / factor).alias("lower"), (flow * factor).alias("upper"), (F.col("sep_log") ** 2).alias("prediction_variance"), "extrapolated")
+
+
 def out_of_range(values: DataFrame, limits: DataFrame) -> DataFrame:
     """Characteristics outside an equation's limits: limits: region, code, lo, hi."""
     long = values.select("site", "region", F.explode("chars").alias("code", "value"))

@@ -8,7 +8,7 @@ from headwater.operators import dimensions as D
 from headwater.operators import frequency as Q
 from headwater.operators import transfer as T
 from headwater.plans.common import rounded, sql
-from headwater.plans.q_transfer import _basins, connected_by, gages, sites
+from headwater.plans.q_transfer import _basins, chars, connected_by, equations, gages, sites
 from headwater.plans.tables import daily, monthly_peaks, table
 
 # Annual peaks of two public gages, in cubic feet a second, and the published results of their fits.
@@ -167,7 +167,22 @@ def _jurisdictions(s, d):
     return D.jurisdictions(from_regions.filter("name <> 'AMERICA'"), table(s, d, "region").filter("r_name <> 'AMERICA'").select(F.lower(F.substring("r_name", 1, 2)).alias("code")))
 
 
+def _estimates(s, d):
+    facts = equations(s, d).withColumns({"bias_correction": F.when(F.col("aep") < 0.05, 1.1), "sep_log": F.when(F.col("region") != "Brand#3", 0.2), "n_sites": F.when(F.col("region") == "Brand#1", 13)})
+    limits = s.sql("SELECT * FROM VALUES ('Brand#1', 'DRNAREA', 5.0D, 40.0D) AS t(region, code, lo, hi)")
+    return T.estimate(facts, chars(s, d), limits, extrapolate=True)
+
+
+def _smooth(s, d):
+    from headwater.operators import estimators as E
+
+    return table(s, d, "part").select("p_partkey", E.smooth_exponent_at(F.col("p_size") / 20 - 1, [(-0.5, 0.8), (0.5, 0.7), (1.2, 0.72)]).alias("exponent"))
+
+
 QUERIES = {
+    "f9_estimate_intervals": lambda s, d: rounded(_estimates(s, d), 3),
+    "f15_smooth_exponents": lambda s, d: rounded(_smooth(s, d)),
+    "g3_conditional_moments": lambda s, d: rounded(Q.conditional_moment_quantiles(monthly_peaks(s, d), (0.9, 0.1, 0.01)), 4),
     "g8_g9_g10_published_fits": _published,
     "a21_a25_catalog": lambda s, d: rounded(D.attributes(D.catalog(_catalog(s, d)).select(F.col("code").alias("site"), "class"), sites(s, d).select(F.col("code").cast("long").cast("string").alias("site"), "lat"))),
     "a26_c15_rules": lambda s, d: rounded(D.rule_table(_rules(s)).select("prefix", F.array_join("states", "|").alias("states"), "value")),
@@ -202,6 +217,10 @@ ow AS (SELECT site, month, log10(median) AS l, pi() / 2 * log_sd ** 2 / n_years
 pr AS (SELECT d.month, donor, receiver, d.l + r.la - d.la - r.l AS error, d.v + r.v AS known, abs(r.la - d.la) AS log_ar, r.l AS observed, r.v AS own FROM co JOIN ow d ON d.site = donor JOIN ow r ON r.site = receiver AND r.month = d.month)"""
 
 ORACLE = {
+    "f9_estimate_intervals": """WITH e(region, aep, i) AS (VALUES ('Brand#1', 0.1::DOUBLE, 1.5::DOUBLE), ('Brand#1', 0.01, 1.9), ('Brand#2', 0.1, 1.2), ('Brand#3', 0.1, 1.0)),
+q AS (SELECT 'part' || p_partkey AS site, region || '-' || aep AS equation, region, aep, i + 0.75 * log10(p_size) + 1.1 * log10(p_retailprice * 0.01 + 1) AS l, CASE WHEN aep < 0.05 THEN 1.1 ELSE 1.0 END AS b, p_size FROM part JOIN e ON region = p_brand),
+w AS (SELECT *, b * pow(10, l) AS f, CASE region WHEN 'Brand#1' THEN 1.8124611228107335 * 0.2 WHEN 'Brand#2' THEN 1.6448536269514722 * 0.2 END AS h FROM q)
+SELECT site, equation, aep, round(l, 3) AS log_flow, round(f, 3) AS flow, round(f / pow(10, h), 3) AS lower, round(f * pow(10, h), 3) AS upper, CASE WHEN h IS NOT NULL THEN 0.04::DOUBLE END AS prediction_variance, CASE WHEN region = 'Brand#1' AND (p_size < 5 OR p_size > 40) THEN 'DRNAREA' ELSE '' END AS extrapolated FROM w""",
     "g8_g9_g10_published_fits": f"SELECT site, aep::DOUBLE AS aep, round(y::DOUBLE, 3) AS log_flow, round(lo::DOUBLE, 3) AS log_lower, round(hi::DOUBLE, 3) AS log_upper, round(v::DOUBLE, 4) AS variance_log FROM (VALUES {PUBLISHED}) AS t(site, aep, y, lo, hi, v)",
     "a21_a25_catalog": f"WITH {_CAT} SELECT a.code AS site, CASE a.area::BIGINT % 4 WHEN 0 THEN 'reference' WHEN 1 THEN 'regulated' WHEN 2 THEN 'urban' ELSE 'unknown' END AS class, b.lat::DOUBLE AS lat FROM si a LEFT JOIN si b ON a.code = b.code",
     "a26_c15_rules": "SELECT * FROM (VALUES ('0', 'AA|BB', 0.1::DOUBLE), ('00', 'AA', 0.2), ('00', 'BB', 0.3), ('7', 'CC', 0.4)) AS t(prefix, states, value)",

@@ -93,6 +93,13 @@ def read_rdb(spark: SparkSession, path: str) -> DataFrame:
     return rdb(lines, rdb_columns(header["value"]))
 
 
+def catalog_period(listing: DataFrame, data_type: str, parameter: str = "00060", statistic: str | None = None) -> DataFrame:
+    """First and last date, as written, of each site's series of a type, parameter (and statistic) in a listing."""
+    rows = listing.filter((F.trim("data_type_cd") == data_type) & (F.trim("parm_cd") == parameter))
+    rows = rows if statistic is None else rows.filter(F.trim("stat_cd") == statistic)
+    return rows.groupBy(F.col("site_no").alias("site")).agg(F.min("begin_date").alias("begin_date"), F.max("end_date").alias("end_date"))
+
+
 def rdb_instantaneous(table: DataFrame, parameter: str, zones: dict[str, str]) -> DataFrame:
     """Readings of a parameter at UTC instants; zones: abbreviation to named zone or offset."""
     value = value_column([c for c in table.columns if not c.endswith("_cd")], parameter)
@@ -184,8 +191,9 @@ def specification(text: str) -> dict[str, dict]:
     return stations
 
 
-def equation_library(spark: SparkSession, path: str) -> DataFrame:
-    """One row per equation of nested JSON libraries (one document a file)."""
+def equation_library(spark: SparkSession, path: str, statuses: tuple[str, ...] = ("verified",)) -> DataFrame:
+    """One row per equation of nested JSON libraries (one document a file). A library of another status raises."""
     schema = "state string, status string, equations array<struct<region:string,aep:double,intercept:double,terms:array<struct<code:string,transform:string,scale:double,offset:double,coef:double>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.select("state", "status", F.explode("equations").alias("e")).select("state", "status", "e.*")
+    status = F.when(F.col("status").isin(*statuses), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("not a usable library: "), "state", F.lit(" "), F.coalesce("status", F.lit("none")))))
+    return rows.select("state", status.alias("status"), F.explode("equations").alias("e")).select("state", "status", "e.*")

@@ -339,3 +339,29 @@ def test_regional_skew_recovers_a_plane(spark):
     got = {r.term: r for r in estimators.regional_skew(d, ("x",)).collect()}
     assert got["constant"].coef == pytest.approx(0.1, abs=0.04) and got["x"].coef == pytest.approx(0.3, abs=0.06)
     assert got["x"].model_variance < 0.02 and got["x"].effective_years > 200
+
+
+def test_zones_and_smooth_exponents(spark):
+    from headwater.operators import estimators
+
+    rows = spark.createDataFrame([("CST", "Y"), ("MST", "n"), ("ChST", "N")], "a string, d string")
+    assert [r.z for r in rows.select(cal.zone_of(F.col("a"), F.col("d")).alias("z")).collect()] == ["America/Chicago", "-07:00", "+10:00"]
+    with pytest.raises(Exception, match="no zone"):
+        spark.createDataFrame([("XST", "Y")], "a string, d string").select(cal.zone_of(F.col("a"), F.col("d"))).collect()
+    points = [(-1.0, 0.9), (0.0, 0.8), (1.0, 0.8), (2.0, 0.5)]
+    z = spark.createDataFrame([(x / 10,) for x in range(-15, 26)], "z double")
+    got = {round(r.z, 1): r.b for r in z.select("z", estimators.smooth_exponent_at(F.col("z"), points).alias("b")).collect()}
+    assert all(got[a] == pytest.approx(b) for a, b in points) and got[-1.5] == 0.9 and got[2.5] == 0.5
+    assert all(got[x / 10] == pytest.approx(0.8) for x in range(0, 11))  # flat between equal points
+    line = [got[x / 10] for x in range(-10, 21)]
+    assert all(b <= a + 1e-12 for a, b in zip(line, line[1:]))
+
+
+def test_conditional_moments(spark):
+    logs = [2.0, 2.1, 2.2, 2.3, 2.4, 2.5, 2.6, 2.2, 2.3, 2.4, 2.35, 2.25, -2.0]
+    d = spark.createDataFrame([("a", 10.0**x) for x in logs], "site string, flow double")
+    got = {r.aep: r for r in Q.conditional_moment_quantiles(d, (0.95, 0.1)).collect()}
+    x = np.array(logs[:-1])
+    g = len(x) * ((x - x.mean()) ** 3).sum() / ((len(x) - 1) * (len(x) - 2) * x.std(ddof=1) ** 3)
+    assert got[0.1].n_low == 1 and got[0.1].flow == pytest.approx(10 ** (x.mean() + S.frequency_factor(g, 0.1 * 13 / 12) * x.std(ddof=1)))
+    assert got[0.95].flow is None
