@@ -54,9 +54,9 @@ def probability_transfer(target: DataFrame, donor: DataFrame, pairs: DataFrame,
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "site string, donor string, date date, flow double")
 
 
-def best_donors(daily: DataFrame, min_concurrent: int = 365) -> DataFrame:
-    """Each site's best other: enough common days first, then rank correlation."""
-    ranked = rank_donors(daily, daily, min_concurrent)
+def best_donors(daily: DataFrame, min_concurrent: int = 365, among: DataFrame | None = None) -> DataFrame:
+    """Each site's best other (of the pairs in among, if given): enough common days first, then rank correlation."""
+    ranked = rank_donors(daily, daily, min_concurrent, among)
     best = F.max_by("donor", F.struct("sufficient", F.coalesce("spearman", F.lit(-2.0)), "donor"))
     return ranked.groupBy("site").agg(best.alias("donor"))
 

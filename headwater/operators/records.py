@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def concurrent(short: DataFrame, index: DataFrame, on: str = "date") -> DataFrame:
-    """Rows that both have: site and donor, y and x."""
-    return short.select("site", on, F.col("flow").alias("y")).join(index.select(F.col("site").alias("donor"), on, F.col("flow").alias("x")), on).filter("y IS NOT NULL AND x IS NOT NULL")
+def concurrent(short: DataFrame, index: DataFrame, on: str = "date", pairs: DataFrame | None = None) -> DataFrame:
+    """Rows that both have: site and donor, y and x. With pairs (site, donor) only theirs, joined by donor and date; without,
+    each site meets every other on a date, which is meant for few of them."""
+    y = short.filter("flow IS NOT NULL").select("site", on, F.col("flow").alias("y"))
+    x = index.filter("flow IS NOT NULL").select(F.col("site").alias("donor"), on, F.col("flow").alias("x"))
+    return y.join(x, on) if pairs is None else y.join(pairs.select("site", "donor"), "site").join(x, ["donor", on])
 
 
 def fit_extension(short: DataFrame, index: DataFrame, min_concurrent: int = 10) -> DataFrame:
@@ -52,9 +55,9 @@ def _ranked(rows: DataFrame, keys: list[str], column: str, out: str) -> DataFram
     return rows.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
 
 
-def rank_donors(target: DataFrame, candidates: DataFrame, min_concurrent: int = 365) -> DataFrame:
-    """Log Pearson and rank correlation with each donor over days positive at both."""
-    pairs = concurrent(target, candidates).filter("y > 0 AND x > 0 AND site <> donor")
+def rank_donors(target: DataFrame, candidates: DataFrame, min_concurrent: int = 365, among: DataFrame | None = None) -> DataFrame:
+    """Log Pearson and rank correlation with each donor (of the pairs in among, if given) over days positive at both."""
+    pairs = concurrent(target, candidates, pairs=among).filter("y > 0 AND x > 0 AND site <> donor")
     keys = ["site", "donor"]
     pairs = _ranked(_ranked(pairs, keys, "y", "ry"), keys, "x", "rx")
     return pairs.groupBy(*keys).agg(

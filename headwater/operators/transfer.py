@@ -230,9 +230,16 @@ def monthly_statistics(daily: DataFrame, min_years: int = 3) -> DataFrame:
     return m.groupBy("site", "month").agg(F.median("mean").alias("median"), F.avg(F.log10("mean")).alias("log_mean"), F.stddev_samp(F.log10("mean")).alias("log_sd"), F.count(F.lit(1)).alias("n_years")).filter(F.col("n_years") >= min_years)
 
 
-def cross_covariance(yearly: DataFrame) -> DataFrame:
-    """Covariance and correlation of two sites' logs over the years that both have: yearly: site, year, flow."""
+def cross_covariance(yearly: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Covariance and correlation of two sites' logs over the years that both have: yearly: site, year, flow.
+
+    among (site, other): the pairs wanted, joined by site and year; without, each two of a network meet in each year.
+    """
     a = yearly.filter("flow > 0").select("site", "year", F.log10("flow").alias("v"))
+    if among is not None:
+        b = a.select(F.col("site").alias("other"), "year", F.col("v").alias("w"))
+        both = a.join(among.select("site", "other"), "site").join(b, ["other", "year"])
+        return both.groupBy("site", "other").agg(F.covar_samp("v", "w").alias("cov"), F.corr("v", "w").alias("corr"), F.count(F.lit(1)).alias("n"))
     pairs = a.alias("a").join(a.alias("b"), (F.col("a.year") == F.col("b.year")) & (F.col("a.site") < F.col("b.site")))
     return pairs.groupBy(F.col("a.site").alias("site"), F.col("b.site").alias("other")).agg(F.covar_samp("a.v", "b.v").alias("cov"), F.corr("a.v", "b.v").alias("corr"), F.count(F.lit(1)).alias("n"))
 

@@ -365,3 +365,21 @@ def test_conditional_moments(spark):
     g = len(x) * ((x - x.mean()) ** 3).sum() / ((len(x) - 1) * (len(x) - 2) * x.std(ddof=1) ** 3)
     assert got[0.1].n_low == 1 and got[0.1].flow == pytest.approx(10 ** (x.mean() + S.frequency_factor(g, 0.1 * 13 / 12) * x.std(ddof=1)))
     assert got[0.95].flow is None
+
+
+def test_pairs_that_are_asked_for(spark):
+    from headwater.operators import transfer
+
+    rng = np.random.default_rng(3)
+    daily = None
+    for k, site in enumerate("abc"):
+        one = series(spark, (rng.random(60) * (k + 1) + 1).tolist(), site=site)
+        daily = one if daily is None else daily.union(one)
+    pairs = spark.createDataFrame([("a", "b"), ("c", "a")], "site string, donor string")
+    some = {(r.site, r.donor): r for r in X.rank_donors(daily, daily, 30, pairs).collect()}
+    every = {(r.site, r.donor): r for r in X.rank_donors(daily, daily, 30).collect()}
+    assert set(some) == {("a", "b"), ("c", "a")} and all(some[k] == every[k] for k in some) and len(every) == 6
+    yearly = daily.select("site", F.dayofyear("date").alias("year"), "flow")
+    one = {(r.site, r.other): r.cov for r in transfer.cross_covariance(yearly, pairs.withColumnRenamed("donor", "other")).collect()}
+    two = {(r.site, r.other): r.cov for r in transfer.cross_covariance(yearly).collect()}
+    assert one[("a", "b")] == pytest.approx(two[("a", "b")]) and one[("c", "a")] == pytest.approx(two[("a", "c")])
