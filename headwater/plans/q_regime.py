@@ -67,6 +67,13 @@ _CENTRE = f"cm AS (SELECT *, CASE WHEN count(flow) OVER w = {2 * _N + 1} THEN mi
 _RBI = "ch AS (SELECT *, abs(flow - lag(flow) OVER (PARTITION BY site, wy ORDER BY date)) AS change, avg(flow) OVER (PARTITION BY site, wy) AS mean FROM dense)\n--\n"
 
 ORACLE = {
+    "e5_recursive_filter": sql("""d1 AS (SELECT site, date, flow, day - row_number() OVER (PARTITION BY site ORDER BY day) AS run FROM dense WHERE flow IS NOT NULL),
+d2 AS (SELECT *, site || '|' || run AS g, row_number() OVER (PARTITION BY site, run ORDER BY date) AS k, count(*) OVER (PARTITION BY site, run) AS n FROM d1),
+f1 AS (WITH RECURSIVE r(g, k, x, q, b) AS (SELECT g, k, flow, 0.0::DOUBLE, flow FROM d2 WHERE k = 1 UNION ALL SELECT d2.g, d2.k, d2.flow, 0.925 * q + 0.9625 * (d2.flow - x), greatest(least(d2.flow - (0.925 * q + 0.9625 * (d2.flow - x)), d2.flow), 0.0) FROM r JOIN d2 ON d2.g = r.g AND d2.k = r.k + 1) SELECT g, k, b FROM r),
+f2 AS (WITH RECURSIVE r(g, k, x, q, b) AS (SELECT f1.g, f1.k, f1.b, 0.0::DOUBLE, f1.b FROM f1 JOIN d2 USING (g, k) WHERE k = n UNION ALL SELECT f1.g, f1.k, f1.b, 0.925 * q + 0.9625 * (f1.b - x), greatest(least(f1.b - (0.925 * q + 0.9625 * (f1.b - x)), f1.b), 0.0) FROM r JOIN f1 ON f1.g = r.g AND f1.k = r.k - 1) SELECT g, k, b FROM r),
+f3 AS (WITH RECURSIVE r(g, k, x, q, b) AS (SELECT g, k, b, 0.0::DOUBLE, b FROM f2 WHERE k = 1 UNION ALL SELECT f2.g, f2.k, f2.b, 0.925 * q + 0.9625 * (f2.b - x), greatest(least(f2.b - (0.925 * q + 0.9625 * (f2.b - x)), f2.b), 0.0) FROM r JOIN f2 ON f2.g = r.g AND f2.k = r.k + 1) SELECT g, k, b FROM r)
+--
+SELECT site, date, flow, b AS baseflow FROM d2 JOIN f3 USING (g, k)""", "flow baseflow"),
     "b1_year_labels": sql("SELECT site, date, year(date) + (month(date) >= 10)::INT AS water_year, year(date) - (month(date) < 4)::INT AS climatic_year, year(date) AS calendar_year FROM daily", longs="water_year climatic_year calendar_year"),
     "b2_day_of_water_year": sql("SELECT site, date, date_diff('day', CASE WHEN month(date) >= 10 THEN DATE '1999-10-01' ELSE DATE '1999-10-01' END, make_date(CASE WHEN month(date) >= 10 THEN 1999 ELSE 2000 END, month(date), day(date))) + 1 AS dowy FROM daily"),
     "b3_season": sql("SELECT site, CASE WHEN month(date) IN (12, 1, 2) THEN 'DJF' WHEN month(date) <= 5 THEN 'MAM' WHEN month(date) <= 8 THEN 'JJA' ELSE 'SON' END AS season, sum(flow) AS flow, count(*) AS n FROM daily GROUP BY ALL"),
