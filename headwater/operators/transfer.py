@@ -22,6 +22,12 @@ def ring_area(ring: Column, radius: float = RADIUS_AREA_M) -> Column:
     return F.when(n >= 4, F.abs(F.aggregate(edges, F.lit(0.0), lambda a, x: a + x)) * radius * radius / 2).otherwise(0.0)
 
 
+def geometry_area(polygons: Column, radius: float = RADIUS_AREA_M) -> Column:
+    """Square metres of polygons (arrays of rings): each outer ring less its holes."""
+    total = lambda rings: F.aggregate(F.transform(rings, lambda r: ring_area(r, radius)), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.transform(polygons, lambda p: 2 * ring_area(F.get(p, F.lit(0)), radius) - total(p)), F.lit(0.0), lambda a, x: a + x)
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd rule over a ring's edges."""
     crosses = F.filter(
@@ -219,8 +225,13 @@ def transfer_triples(pairs: DataFrame) -> DataFrame:
 
 def by_ratio(pairs: DataFrame, bins: int = 4) -> DataFrame:
     """Mean squared error less known variance in bins of equal numbers by log_ar."""
-    every = Window.partitionBy(F.lit(0)).orderBy("log_ar", "donor", "receiver")
-    rows = pairs.withColumn("bin", F.ntile(bins).over(every))
+    from headwater.operators.trend import placed
+
+    rows = placed(pairs, F.least(F.floor(F.col("log_ar") * 1000), F.lit(4000)), ["log_ar", "donor", "receiver"])
+    size, more = F.floor(F.col("m") / bins), F.col("m") % bins  # the first bins have one more
+    large = more * (size + 1)
+    at = F.when(F.col("k") <= large, F.floor((F.col("k") - 1) / (size + 1))).otherwise(more + F.floor((F.col("k") - 1 - large) / F.greatest(size, F.lit(1))))
+    rows = rows.withColumn("bin", (at + 1).cast("int"))
     return rows.groupBy("bin").agg(F.min("log_ar").alias("lo"), F.max("log_ar").alias("hi"), F.avg(F.col("error") ** 2 - F.col("known")).alias("excess"), F.count(F.lit(1)).alias("n"))
 
 

@@ -9,12 +9,26 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions import special as S
 
 
+def placed(rows: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+    """rows with k, their place among all by order (which must ascend with bucket), and m, their number.
+
+    Places are counted within a bucket and added to what lies before it; only the buckets' sizes, of which there must be
+    few, meet in one task.
+    """
+    keyed = rows.withColumn("__bucket", bucket)
+    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("__bucket", (upto - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("m"))
+    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    return keyed.join(sizes, "__bucket").withColumn("k", F.col("__before") + place).drop("__bucket", "__before")
+
+
 def _order(series: DataFrame) -> DataFrame:
     by = Window.partitionBy("site")
     return series.filter("flow IS NOT NULL").select("site", "year", "flow", F.row_number().over(by.orderBy("year")).alias("i"), F.count(F.lit(1)).over(by).alias("n"))
@@ -89,8 +103,7 @@ def lombard(series: DataFrame, score: str = "wilcoxon") -> DataFrame:
 
 def field_significance(p: DataFrame, alpha: float = 0.05) -> DataFrame:
     """False-discovery threshold and Walker's test over p-values (site, p); one row."""
-    every = Window.partitionBy(F.lit(0))
-    rows = p.select("p", F.row_number().over(every.orderBy("p")).alias("k"), F.count(F.lit(1)).over(every).alias("m"))
+    rows = placed(p.select("p"), F.least(F.floor(F.col("p") * 1024), F.lit(1023)), ["p"])
     f = rows.agg(F.max("m").alias("n_sites"), F.count(F.when(F.col("p") < alpha, 1)).alias("n_local"), F.max(F.when(F.col("p") <= alpha * F.col("k") / F.col("m"), F.col("p"))).alias("fdr_threshold"), F.min("p").alias("least"))
     return f.select("n_sites", "n_local", "fdr_threshold", (1 - F.pow(1 - F.col("least"), F.col("n_sites").cast("double"))).alias("walker_p"))
 
@@ -182,7 +195,7 @@ def screen(series: DataFrame, n_permutations: int = 999, seed: int = 0) -> DataF
     return series.groupBy("site").applyInPandas(run, RESULT)
 
 
-def field_bootstrap(values: DataFrame, n_bootstrap: int = 1000, seed: int = 0, alpha: float = 0.05, block_length: int = 1) -> DataFrame:
+def field_bootstrap(values: DataFrame, n_bootstrap: int = 1000, seed: int = 0, alpha: float = 0.05, block_length: int = 1, min_years: int = 10) -> DataFrame:
     """Share of bootstrap replicates (blocks of whole years drawn across sites) with as many significant sites as observed.
 
     values: site, year, flow. The years-by-sites matrix of periods is one group; its size is that of the network.
@@ -190,17 +203,18 @@ def field_bootstrap(values: DataFrame, n_bootstrap: int = 1000, seed: int = 0, a
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         m = part.pivot_table(index="year", columns="site", values="flow").to_numpy(float)
-        count = lambda a: sum(S.mann_kendall_p(c[~np.isnan(c)]) < alpha for c in a.T if (~np.isnan(c)).sum() >= 10)
-        m = m[:, (~np.isnan(m)).sum(axis=0) >= 10]
+        count = lambda a: sum(S.mann_kendall_p(c[~np.isnan(c)]) < alpha for c in a.T if (~np.isnan(c)).sum() >= min_years)
+        m = m[:, (~np.isnan(m)).sum(axis=0) >= min_years]
         if not 1 <= block_length <= len(m):
             raise ValueError(f"block_length must be in [1, {len(m)}], got {block_length}")
-        seen, rng, more = count(m), np.random.default_rng(seed), 0
+        seen, rng, counts = count(m), np.random.default_rng(seed), []
         for _ in range(n_bootstrap):
             starts = rng.integers(0, len(m) - block_length + 1, -(-len(m) // block_length))
-            more += count(m[(starts[:, None] + np.arange(block_length)).ravel()[: len(m)]]) >= seen
-        return pd.DataFrame({"n_significant": [seen], "p_value": [(1 + more) / (1 + n_bootstrap)], "n_sites": [m.shape[1]]})
+            counts.append(count(m[(starts[:, None] + np.arange(block_length)).ravel()[: len(m)]]))
+        more = sum(c >= seen for c in counts)
+        return pd.DataFrame({"n_significant": [seen], "p_value": [(1 + more) / (1 + n_bootstrap)], "n_sites": [m.shape[1]], "critical_count": [float(np.quantile(counts, 1 - alpha))]})
 
-    return values.withColumn("network", F.lit(0)).groupBy("network").applyInPandas(run, "n_significant long, p_value double, n_sites long")
+    return values.withColumn("network", F.lit(0)).groupBy("network").applyInPandas(run, "n_significant long, p_value double, n_sites long, critical_count double")
 
 
 def count_trend(counts: DataFrame) -> DataFrame:

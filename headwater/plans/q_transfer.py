@@ -117,7 +117,7 @@ QUERIES = {
     "f21_change_factors": lambda s, d: rounded(T.change_factors(quantiles(s, d), s.sql("SELECT * FROM VALUES (0.5D, 1.1D), (1.5D, 1.2D), (2.0D, 1.4D) AS t(z, factor)"))),
     "f22_preferred_factors": lambda s, d: rounded(T.preferred_factors(table(s, d, "part").select(F.floor(F.col("p_partkey") / 3).cast("string").alias("site"), F.when(F.col("p_partkey") % 5 == 0, "state").otherwise("national").alias("source"), F.lit(0.1).alias("aep"), (F.col("p_size") / 10).alias("factor")))),
     "f23_projected_factors": lambda s, d: rounded(T.projected_factors(equations(s, d), chars(s, d), chars(s, d).select("site", F.create_map(F.lit("PRECIP"), F.col("chars")["PRECIP"] * 1.1).alias("changes")))),
-    "f27_ring_area": lambda s, d: rounded(_basins(s).select("basin", (T.ring_area(F.get("rings", F.lit(0))) / 1e6).alias("km2")), 3),
+    "f27_ring_area": lambda s, d: rounded(_basins(s).select("basin", (T.ring_area(F.get("rings", F.lit(0))) / 1e6).alias("km2"), (T.geometry_area(F.array(F.col("rings"))) / 1e6).alias("net_km2")), 3),
     "f28_haversine": lambda s, d: rounded(sites(s, d).select("site", T.haversine(F.col("lat"), F.col("lon"), F.lit(45.0), F.lit(-110.0)).alias("km"))),
     "g11_threshold_table": lambda s, d: rounded(P.threshold_table(P.station_rows(coded(s, d), periods(s, d)))),
     "g22_skew_weighting": lambda s, d: rounded(_skew(s, d)),
@@ -203,8 +203,9 @@ SELECT site, lon, lat, 'tri' AS basin FROM si WHERE (
     "e9_screen_donors": sql(_SITES + "sd AS (SELECT 't' AS target, site AS donor, 90.0::DOUBLE AS target_area, area AS donor_area, 90.0 / area AS ratio FROM si)\n--\nss AS (SELECT *, CASE WHEN ratio BETWEEN 0.5 AND 1.5 THEN 'pass' ELSE 'fail' END AS status FROM sd)\n--\nSELECT *, row_number() OVER (ORDER BY status DESC, abs(ln(ratio)), donor) AS rank FROM ss", "target_area donor_area ratio"),
     "e10_similarity": sql(_SITES + "sm AS (SELECT stddev_samp(log10(area)) AS a, stddev_samp(lat) AS b, stddev_samp(log_flow) AS c FROM si)\n--\nSELECT s.site, sqrt(2 * ((log10(s.area) - log10(t.area)) / a) ** 2 + ((s.lat - t.lat) / b) ** 2 + 0.5 * ((s.log_flow - t.log_flow) / c) ** 2) AS distance, false AS missing FROM si s, si t, sm WHERE t.site = 'Supplier#000000000' AND s.site <> t.site", "distance"),
     "f5_low_outlier_cut": sql("lo AS (SELECT site, count(*) AS n, avg(log10(flow)) AS m, stddev_samp(log10(flow)) AS sd FROM mpeaks GROUP BY site)\n--\nlk AS (SELECT *, 10 ** (m - CASE WHEN n < 90 THEN 2.940 + (2.981 - 2.940) * (n - 80) / 10 WHEN n < 100 THEN 2.981 + (3.017 - 2.981) * (n - 90) / 10 ELSE -0.9043 + 3.345 * sqrt(log10(n)) - 0.4046 * log10(n) END * sd) AS cut FROM lo)\n--\nSELECT site, any_value(n) AS n, any_value(cut) AS cut, count(*) FILTER (flow < cut) AS n_low FROM mpeaks JOIN lk USING (site) GROUP BY site", "cut"),
-    "f27_ring_area": """WITH e(x0, y0, x1, y1) AS (VALUES (-118.0::DOUBLE, 41.0::DOUBLE, -110.0::DOUBLE, 41.0::DOUBLE), (-110.0, 41.0, -114.0, 50.0), (-114.0, 50.0, -118.0, 41.0))
-SELECT 'tri' AS basin, round(abs(sum((radians(x1) - radians(x0)) * (2 + sin(radians(y0)) + sin(radians(y1))))) * 6378137.0::DOUBLE * 6378137.0::DOUBLE / 2 / 1e6, 3) AS km2 FROM e""",
+    "f27_ring_area": """WITH e(x0, y0, x1, y1) AS (VALUES (-118.0::DOUBLE, 41.0::DOUBLE, -110.0::DOUBLE, 41.0::DOUBLE), (-110.0, 41.0, -114.0, 50.0), (-114.0, 50.0, -118.0, 41.0)),
+a AS (SELECT abs(sum((radians(x1) - radians(x0)) * (2 + sin(radians(y0)) + sin(radians(y1))))) * 6378137.0::DOUBLE * 6378137.0::DOUBLE / 2 / 1e6 AS x FROM e)
+SELECT 'tri' AS basin, round(x, 3) AS km2, round(x - radians(2.0) * (sin(radians(45.0)) - sin(radians(43.0))) * 6378137.0::DOUBLE * 6378137.0::DOUBLE / 1e6, 3) AS net_km2 FROM a""",
     "f8_f9_evaluate": sql(_EQ + "SELECT *, 10 ** log_flow AS flow FROM ev", "aep log_flow flow"),
     "b21_out_of_range": sql("SELECT p_brand AS region, 'DRNAREA' AS code, 'part' || p_partkey AS site, p_size::DOUBLE AS value, 5.0::DOUBLE AS lo, 40.0::DOUBLE AS hi FROM part WHERE p_brand = 'Brand#1' AND (p_size < 5 OR p_size > 40) UNION ALL SELECT p_brand, 'PRECIP', 'part' || p_partkey, p_retailprice, 950.0, 990.0 FROM part WHERE p_brand = 'Brand#2' AND (p_retailprice < 950 OR p_retailprice > 990)", "value lo hi"),
     "f10_area_weighted": sql(_EQ + "SELECT 'basin' AS site, aep, 10 ** avg(log_flow) AS flow, count(*) AS n_regions FROM ev GROUP BY aep", "aep flow"),
