@@ -8,6 +8,8 @@ templates too; where the join finds a phrase's first 3 words, its words are comp
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ GRAM = 3
 DRIFT, SHARE = 4, 0.7
 #: Bytes of templates that may go to every task.
 TEMPLATE_BYTES = 1 << 20
+#: Hash values that tell places which may be a template's from those that aren't.
+SIEVE = 1 << 16
 #: Repeated rows that are given back from one array.
 COPIES = 4096
 
@@ -79,14 +83,22 @@ def scan(docs: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFra
     here = F.slice("t_words", F.col("t_at") + 1, F.when(F.col("phrase"), F.size("t_words")).otherwise(GRAM))
     table = own.select("*", F.posexplode(grams("t_words")).alias("t_at", "gram")).filter("NOT phrase OR t_at = 0")
     table = table.select("id", "label", "phrase", F.size("t_words").alias("t_size"), "t_at", "gram", here.alias("t_here"))
+    known = None
     if 64 * facts["n"] <= TEMPLATE_BYTES:
+        # places whose hash no template has, by 16 of its bits, aren't sent to the join
+        bits = {r["b"] for r in table.select(F.pmod("gram", F.lit(SIEVE)).alias("b")).distinct().collect()}
+        known = F.from_json(F.lit(json.dumps([int(b in bits) for b in range(SIEVE)])), "array<tinyint>")
         table = F.broadcast(table)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     n = F.size("words")
     # a place has its own few words (slice would copy the whole text each time); place -1 stands for the document itself
-    place = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram"), F.array(*(F.get("words", i + j) for j in range(most))).alias("here"))
+    place = lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("gram"))
+    here = lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.array(*(F.get("words", x["at"] + j) for j in range(most))).alias("here"))
+    hashed = F.transform(F.sequence(F.lit(0), n - GRAM), place)
+    if known is not None:
+        hashed = F.filter(hashed, lambda x: F.get(known, F.pmod(x["gram"], F.lit(SIEVE)).cast("int")) == 1)
     itself = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("bigint").alias("gram"), F.array().cast("array<string>").alias("here"))
-    places = F.when(n >= GRAM, F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), n - GRAM), place))).otherwise(F.array(itself))
+    places = F.when(n >= GRAM, F.concat(F.array(itself), F.transform(hashed, here))).otherwise(F.array(itself))
     each = base.select("doc_id", "text_hash", n.alias("n"), F.explode(places).alias("x")).select("doc_id", "text_hash", "n", "x.at", "x.gram", "x.here")
     joined = each.withColumn("spread", F.when(F.col("at") == -1, F.col("text_hash")).otherwise(F.col("gram"))).join(
         table.withColumnRenamed("gram", "t_gram"), (F.col("spread") == F.col("t_gram")) & (F.col("at") >= 0), "left"
