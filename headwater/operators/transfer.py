@@ -70,8 +70,17 @@ def log_errors(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(e).alias("n"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(F.abs(e)).alias("median_abs"), (100 * (F.pow(F.lit(10.0), F.avg(e)) - 1)).alias("pct_bias"))
 
 
+def checked_band(name: str, band: tuple[float, float]) -> tuple[float, float]:
+    """A band of ratios: two finite numbers, the lower above 0 and below the upper."""
+    lo, hi = (float(x) for x in band)
+    if not (0 < lo < hi < float("inf")):
+        raise ValueError(f"{name} must be two ratios, 0 < low < high, not {band}")
+    return lo, hi
+
+
 def screen_donors(rows: DataFrame, band: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
     """Status of each donor by its area ratio, in the order pass, fail, excluded and by |ln ratio|."""
+    band = checked_band("band", band)
     ratio = F.when((F.col("target_area") > 0) & (F.col("donor_area") > 0), F.col("target_area") / F.col("donor_area"))
     r = rows.withColumn("ratio", ratio)
     status = F.when(F.col("ratio").isNull(), "excluded").when(F.col("ratio").between(*band), "pass").otherwise("fail")

@@ -383,3 +383,11 @@ def test_pairs_that_are_asked_for(spark):
     one = {(r.site, r.other): r.cov for r in transfer.cross_covariance(yearly, pairs.withColumnRenamed("donor", "other")).collect()}
     two = {(r.site, r.other): r.cov for r in transfer.cross_covariance(yearly).collect()}
     assert one[("a", "b")] == pytest.approx(two[("a", "b")]) and one[("c", "a")] == pytest.approx(two[("a", "c")])
+
+
+@pytest.mark.parametrize("band", [(0, 1), (1.5, 0.5), (0.5, math.inf), (-1, 2)])
+def test_bands_are_checked(band):
+    from headwater.operators import transfer
+
+    with pytest.raises(ValueError, match="low < high"):
+        transfer.checked_band("band", band)
