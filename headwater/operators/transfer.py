@@ -71,10 +71,10 @@ def log_errors(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def checked_band(name: str, band: tuple[float, float]) -> tuple[float, float]:
-    """A band of ratios: two finite numbers, the lower above 0 and below the upper."""
+    """A band of ratios: two finite numbers, the lower above 0 and not above the upper."""
     lo, hi = (float(x) for x in band)
-    if not (0 < lo < hi < float("inf")):
-        raise ValueError(f"{name} must be two ratios, 0 < low < high, not {band}")
+    if not (0 < lo <= hi < float("inf")):
+        raise ValueError(f"{name} must be two ratios, 0 < low <= high, not {band}")
     return lo, hi
 
 

@@ -389,5 +389,5 @@ def test_pairs_that_are_asked_for(spark):
 def test_bands_are_checked(band):
     from headwater.operators import transfer
 
-    with pytest.raises(ValueError, match="low < high"):
+    with pytest.raises(ValueError, match="low <= high"):
         transfer.checked_band("band", band)
