@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a slice that a worker holds in several forms at once.
+PIECE_BYTES = 4 << 20
 #: Hash values that `sieved` tells apart.
 SIEVE_BITS = 24
 _OWN: dict[str, str] = {}
@@ -81,16 +83,35 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives for many tasks, and executors share their limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def sparing(run):
+    """run over batches in slices of some PIECE_BYTES, with memory given back after each batch."""
+
+    def slices(batches):
+        for batch in batches:
+            step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+            del batch
+            give_back()
+
+    return lambda batches: run(slices(batches))
+
+
 def trimmed(run):
-    """run, after which the worker gives freed memory back: it lives for many tasks, and executors share their limit."""
+    """run, after which the worker gives freed memory back."""
 
     def call(*tables):
         out = run(*tables)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         return out
 
     # applyInArrow counts the arguments

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from headwater.llm.common import buffers
+from headwater.llm.common import buffers, sparing
 from headwater.llm.cover import word_hashes
 
 # The patterns of the contract, and words that often stand before a secret.
@@ -338,7 +338,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in code_points(t, sorted(base + more))] for t, base, more in batch_spans(batch["text"], model.value)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return docs.select("doc_id", "text").mapInArrow(sparing(run), "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -367,7 +367,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols.append(old)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sparing(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

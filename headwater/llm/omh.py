@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import byte_values, materialize, sieved
+from headwater.llm.common import byte_values, materialize, sieved, sparing, trimmed
 from headwater.llm.cover import grams, mix, word_hashes
 from headwater.llm.wumanber import words
 
@@ -147,7 +147,7 @@ def features(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 ], names=["doc_id", "n_words", "digest", "n_shingles", "sketches", *["text"] * with_text])
                 a = b
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES + ", text string" * with_text)
+    return docs.select("doc_id", "text").mapInArrow(sparing(run), FEATURES + ", text string" * with_text)
 
 
 def aligned(a: list[int], b: list[int], least: float) -> float:
@@ -398,7 +398,7 @@ def _classes(rows: DataFrame, docs: DataFrame, similarity: float, block_docs: in
     texts = materialize(texts, "texts")
     member = materialize(homes(every, similarity, common, block_docs), "members")
     heads = member.select(F.col("home").alias("doc"), "home", "part").distinct()
-    edges = member.unionAll(heads).join(texts, "doc").groupBy("home", "part").applyInArrow(inside(similarity), "leader long, member long")
+    edges = member.unionAll(heads).join(texts, "doc").groupBy("home", "part").applyInArrow(trimmed(inside(similarity)), "leader long, member long")
     edges = materialize(edges, "links")
     label = components(edges)
     own = member.select("doc", "home", F.xxhash64("home", "part").alias("block"))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from headwater.llm.common import sparing
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 0
 #: Chunks that a worker remembers.
@@ -78,7 +80,7 @@ def map_ids(docs: DataFrame, make: Callable[[pa.RecordBatch, list[bytes]], pa.Re
         for batch in batches:
             yield make(batch, [own(t or "") for t in batch["text"].to_pylist()])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sparing(run), schema)
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
