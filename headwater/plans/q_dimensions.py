@@ -263,5 +263,5 @@ SELECT report, kind, CASE WHEN kind = 'heading' THEN 2 END::INT AS level, string
     "g25_donor_correlation": """WITH si AS (SELECT s_name AS site, substr(lpad((s_suppkey * 7919 % 100000)::VARCHAR, 8, '0'), 1, 4) AS p, log10(50.0 + s_suppkey % 97) AS la, log10(abs(s_acctbal) + 10) AS l FROM supplier),
 pr AS (SELECT d.site AS donor, r.site AS receiver, d.l + 0.7 * (r.la - d.la) - r.l AS error, abs(r.la - d.la) AS log_ar FROM si d JOIN si r ON d.p = r.p AND d.site <> r.site),
 t AS (SELECT a.error * b.error - 0.001 AS x, sqrt(0.01 + 0.02 * a.log_ar) * sqrt(0.01 + 0.02 * b.log_ar) AS y FROM pr a JOIN pr b ON a.receiver = b.receiver AND a.donor < b.donor)
-SELECT round(greatest(-1.0, least(1.0, sum(x) / sum(y))), 6) AS correlation, count(*) AS n FROM t""",
+SELECT CASE WHEN sum(y) > 0 THEN round(greatest(-1.0, least(1.0, sum(x) / sum(y))), 6) END AS correlation, count(*) AS n FROM t""",
 }
