@@ -67,7 +67,7 @@ def sieved(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[Dat
     ids there are. Rows that need a join are thus told from most that don't before texts are shuffled; the join itself
     must still compare ids. ids: a table of one column, whatever its name.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << SIEVE_BITS))  # noqa: E731  hashes differ by type
     each = ids.select(place(F.col(ids.columns[0])).alias("p")).select(F.shiftright("p", 15).alias("__page"), F.col("p").bitwiseAND(32767).alias("bit"))
     pages = materialize(each.groupBy("__page").agg(F.bitmap_construct_agg("bit").alias("__bits")), "sieve")
     own = [f"`{c}`" for c in docs.columns]
