@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 import weakref
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,25 @@ def give_back() -> None:
         pass
 
 
-def sparing(run):
-    """run over batches in slices of some PIECE_BYTES, with memory given back after each batch."""
+#: What workers hold from task to task, by name: caches of one entry.
+HELD: dict = {}
+
+
+def held(f):
+    """lru_cache(1) of f, until its worker gets a task of an operator that doesn't use it."""
+    HELD[f.__name__] = lru_cache(1)(f)
+    return HELD[f.__name__]
+
+
+def let_go(but: str = "") -> None:
+    """Drops all that this worker holds, except what is named."""
+    for name, cached in HELD.items():
+        if name != but:
+            cached.cache_clear()
+
+
+def sparing(run, holds: str = ""):
+    """run over batches in slices of some PIECE_BYTES, with memory given back after each batch. holds: what run has of HELD."""
 
     def slices(batches):
         for batch in batches:
@@ -103,13 +121,30 @@ def sparing(run):
             del batch
             give_back()
 
-    return lambda batches: run(slices(batches))
+    def call(batches):
+        let_go(holds)
+        yield from run(slices(batches))
+        give_back()
+
+    return call
+
+
+def sliced(df: DataFrame, run, schema, holds: str = "") -> DataFrame:
+    """df.mapInArrow with run made sparing. Batches are bounded by bytes: executor and worker hold a whole one, several times over.
+
+    The bound is a setting of df's session, as Spark reads it when the rows are asked for; a lower one stays.
+    """
+    spark = df.sparkSession
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= PIECE_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
+    return df.mapInArrow(sparing(run, holds), schema)
 
 
 def trimmed(run):
     """run, after which the worker gives freed memory back."""
 
     def call(*tables):
+        let_go()
         out = run(*tables)
         give_back()
         return out

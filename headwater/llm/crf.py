@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from headwater.llm.common import buffers, sparing
+from headwater.llm.common import buffers, sliced
 from headwater.llm.cover import word_hashes
 
 # The patterns of the contract, and words that often stand before a secret.
@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 O, B, I = 0, 1, 2  # noqa: E741
 TRAIN_LINES, SEED = 1500, 7
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 U = np.uint64
 
 _CLASS = np.zeros(256, np.uint8)  # bits: 1 token byte, 2 digit, 4 upper, 8 lower, 16 hex digit, 32 above ASCII, 64 + / _ . -
@@ -99,7 +99,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return (sums[starts] - sums[gap_start]) > 0
 
     assigned = between(b":=") & (gap <= 6)
-    nxt = np.concatenate([buf, [32]])[ends]
+    nxt = np.where(ends < offsets[doc + 1], np.concatenate([buf, [32]])[ends], 32)
     prev = np.where(starts > offsets[doc], buf[np.maximum(starts - 1, 0)], 32)
     shift = lambda x, s, ok: np.concatenate([np.zeros(s, bool), x[:-s]])[:n] & ok if n > s else np.zeros(n, bool)
     has_digit = digit > 0
@@ -307,7 +307,7 @@ def code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
 
 
 def batch_spans(column: pa.Array, model: Tagger) -> Iterator[tuple[bytes, list, list]]:
-    """(text, base spans, added spans) of each document; the field reads some megabytes of whole texts at a time."""
+    """(text, base spans, added spans) of each document; the field reads some PIECE_BYTES of whole texts at a time."""
     data, offsets = buffers(column)
     a = 0
     while a < len(offsets) - 1:
@@ -338,7 +338,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in code_points(t, sorted(base + more))] for t, base, more in batch_spans(batch["text"], model.value)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(sparing(run), "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return sliced(docs.select("doc_id", "text"), run, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -367,7 +367,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols.append(old)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(sparing(run), docs.schema)
+    return sliced(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

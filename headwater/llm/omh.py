@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import byte_values, materialize, sieved, sparing, trimmed
+from headwater.llm.common import byte_values, materialize, sieved, sliced, trimmed
 from headwater.llm.cover import grams, mix, word_hashes
 from headwater.llm.wumanber import words
 
@@ -32,7 +32,7 @@ SHINGLE, SKETCHES = 5, 32
 SIMILARITY = 0.8
 #: The chance to miss a pair at the limit that `shared_at_least` allows.
 MISSED = 1e-6
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: A home's documents are compared in blocks of so many documents and shingles; beyond, they are dealt over several.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1 << 20
 #: Documents of a bucket that one task compares with as many others.
@@ -147,7 +147,7 @@ def features(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 ], names=["doc_id", "n_words", "digest", "n_shingles", "sketches", *["text"] * with_text])
                 a = b
 
-    return docs.select("doc_id", "text").mapInArrow(sparing(run), FEATURES + ", text string" * with_text)
+    return sliced(docs.select("doc_id", "text"), run, FEATURES + ", text string" * with_text)
 
 
 def aligned(a: list[int], b: list[int], least: float) -> float:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headwater.llm.common import materialize, sparing
+from headwater.llm.common import materialize, sliced
 from headwater.llm.tokens import VOCABULARY, encoder
 
 WINDOW = 1024
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, window: int, path: str, with_ids: bool) -> DataFrame
             cols = [doc, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(sparing(cut), PIECES)
+    return sliced(docs.select("doc_id", "text"), cut, PIECES, "encoder")
 
 
 def combinations(hist: dict[int, int], window: int) -> list[tuple[int, ...]]:

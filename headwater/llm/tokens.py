@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from headwater.llm.common import sparing
+from headwater.llm.common import held, sliced
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SEPARATOR = 0
@@ -67,7 +66,7 @@ class Encoder(dict):
         return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
-@lru_cache(2)
+@held
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -80,7 +79,7 @@ def map_ids(docs: DataFrame, make: Callable[[pa.RecordBatch, list[bytes]], pa.Re
         for batch in batches:
             yield make(batch, [own(t or "") for t in batch["text"].to_pylist()])
 
-    return docs.mapInArrow(sparing(run), schema)
+    return sliced(docs, run, schema, "encoder")
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

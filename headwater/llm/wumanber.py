@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import byte_values, materialize, sparing
+from headwater.llm.common import byte_values, materialize, sliced
 
 WINDOW, BLOCK = 10, 3
 #: Bytes of benchmark text that are searched for at once: some 200,000 patterns, whose tables take some 200 MB in each
@@ -116,7 +116,7 @@ def marks(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PORTION_BY
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch["key"].take(rows), batch["doc_id"].take(rows), pa.array(n, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["key", "doc_id", "n_words", "hits", "items"])
 
-        made.append(keyed.mapInArrow(sparing(scan), MARKS))
+        made.append(sliced(keyed, scan, MARKS))
         if more is not None or len(made) > 1:
             made[-1] = materialize(made[-1], "marks")
         one, more = more, next(tables, None) if more is not None else None
@@ -180,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, portion_bytes: int = PORTION_BY
                     kept.append(not of)
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
-        docs = docs.mapInArrow(sparing(sift), docs.schema)
+        docs = sliced(docs, sift, docs.schema)
     return docs
 
 

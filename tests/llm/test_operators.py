@@ -4,6 +4,7 @@ and clashing extra columns."""
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -521,6 +522,44 @@ def test_byte_buffers():
     assert common.byte_values(pa.array(["x", None, "yz"]).slice(1)) == [b"", b"yz"]
 
 
+def test_neighbours_tell_nothing_of_a_text():
+    """The field's features of a text are those that it has alone, whatever lies around it in a batch."""
+    texts = ["the token abcd1234EFGH5678", '"quoted" words', "key: x", "= 5", "'", "last one"]
+    raw = [t.encode() for t in texts]
+    _, _, doc, bits = crf.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, t in enumerate(raw):
+        assert bits[doc == i].tolist() == crf.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[3].tolist()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """No batch that a worker gets is much larger than PIECE_BYTES, though all rows are in one task."""
+    d = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 128).alias("text"))
+    common.materialize(crf.redact(d), "redacted")
+
+    def whole(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x.size for x in batch["text"].buffers() if x)], pa.int64())], names=["n"])
+
+    n = [r.n for r in d.mapInArrow(whole, "n long").collect()]
+    assert sum(n) > 3000 * 8192 and max(n) < 2 * common.PIECE_BYTES
+
+
+def test_slices_of_the_field_take_little_memory():
+    texts = pa.array([t for t, _ in crf.lines(300, 3)] * 100)
+    model = crf.tagger()
+    tracemalloc.start()
+    n = sum(1 for _ in crf.batch_spans(texts, model))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and texts.nbytes > common.PIECE_BYTES and most < 12 * common.PIECE_BYTES
+
+
+def test_workers_let_go_of_other_operators_tables():
+    tokens.encoder(tokens.VOCABULARY)
+    assert list(common.sparing(lambda batches: batches, "encoder")([])) == [] and tokens.encoder.cache_info().currsize == 1
+    assert list(common.sparing(lambda batches: batches)([])) == [] and tokens.encoder.cache_info().currsize == 0
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
