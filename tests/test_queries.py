@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from headwater.plans import catalog
+from headwater.plans.common import rounded
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
@@ -36,6 +37,13 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_doubles_are_rounded_as_by_the_sql(spark, duck):
+    values = [2.0309375, 8.0534375, -32.9871875, 4.0140625, 0.1, 1e-7, 123456789.1234565, 1e17 / 3, 1e305, float("inf"), float("nan"), None]
+    got = [r.x for r in rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double")).orderBy("i").collect()]
+    want = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert [repr(x) for x in got] == [repr(x) for x in want]
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
