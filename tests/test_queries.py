@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from headwater.plans import catalog
+from headwater.plans import catalog, q_dimensions
 from headwater.plans.common import rounded
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
@@ -44,6 +44,13 @@ def test_doubles_are_rounded_as_by_the_sql(spark, duck):
     assert [repr(x) for x in got] == [repr(x) for x in want]
 
 
+def test_columns_of_literals_keep_their_value(spark):
+    d = spark.createDataFrame([(0.0,), (2.0,), (None,)], "x double")
+    assert [str(r.x) for r in q_dimensions.literal(d, ["x"]).collect()] == ["0.0", "2.0", "None"]
+    with pytest.raises(Exception, match="isn't as in the SQL: 0.04"):
+        q_dimensions.literal(spark.createDataFrame([(0.04,)], "x double"), ["x"]).collect()
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
