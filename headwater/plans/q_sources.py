@@ -25,10 +25,11 @@ def _rdb(s, d):
 
 
 def _geojson(s, d):
-    e = instantaneous(s, d).withColumn("p", F.floor(F.unix_timestamp("ts") / 86400))
-    props = F.struct(F.col("site").alias("monitoring_location_id"), F.lit("00060").alias("parameter_code"), F.lit("x").alias("time_series_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.col("value").cast("string").alias("value"), F.lit("Approved").alias("approval_status"), F.array(F.lit("ICE"), F.lit("ESTIMATED")).alias("qualifier"))
-    docs = e.groupBy("p").agg(F.to_json(F.struct(F.collect_list(F.struct(F.lit("f").alias("id"), props.alias("properties"))).alias("features"))).alias("value"))
-    return R.continuous(R.features(docs), "00060")
+    """Pages of up to a thousand events; each event is a series of its own, as two of a type may share an instant."""
+    e = table(s, d, "events").select("event_id", F.col("event_type").alias("site"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    props = F.struct(F.col("site").alias("monitoring_location_id"), F.lit("00060").alias("parameter_code"), F.col("event_id").cast("string").alias("time_series_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.col("value").cast("string").alias("value"), F.lit("Approved").alias("approval_status"), F.array(F.lit("ICE"), F.lit("ESTIMATED")).alias("qualifier"))
+    docs = e.groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.lit("f").alias("id"), props.alias("properties"))).alias("features"))).alias("value"))
+    return R.continuous(R.features(docs), "00060", each_series=True)
 
 
 QUERIES = {

@@ -114,11 +114,15 @@ def features(documents: DataFrame, schema: str = "features array<struct<id:strin
     return documents.select(F.explode(F.from_json("value", schema)["features"]).alias("f")).select("f.id", "f.properties.*")
 
 
-def continuous(found: DataFrame, parameter: str) -> DataFrame:
-    """Readings at UTC instants from features of one parameter; another one, or two values of one instant, raise."""
+def continuous(found: DataFrame, parameter: str, each_series: bool = False) -> DataFrame:
+    """Readings at UTC instants from features of one parameter; another one, or two values of one instant, raise.
+
+    each_series: a site's time series are told apart, so that each may have a reading of the instant.
+    """
+    keys = ["site", "series", "ts"] if each_series else ["site", "ts"]
     wrong = F.when(F.col("parameter_code") != parameter, F.raise_error(F.lit("another parameter than asked for"))).otherwise(F.col("value"))
-    rows = found.select(F.col("monitoring_location_id").alias("site"), F.to_timestamp("time").alias("ts"), wrong.cast("double").alias("value"), qualification(F.col("approval_status"), F.col("qualifier")).alias("code")).filter("value IS NOT NULL")
-    each = rows.groupBy("site", "ts").agg(F.collect_set(F.struct("value", "code")).alias("x"))
+    rows = found.select(F.col("monitoring_location_id").alias("site"), *([F.col("time_series_id").alias("series")] if each_series else []), F.to_timestamp("time").alias("ts"), wrong.cast("double").alias("value"), qualification(F.col("approval_status"), F.col("qualifier")).alias("code")).filter("value IS NOT NULL")
+    each = rows.groupBy(*keys).agg(F.collect_set(F.struct("value", "code")).alias("x"))
     one = F.when(F.size("x") > 1, F.raise_error(F.lit("two readings of one instant"))).otherwise(F.get("x", F.lit(0)))
     return each.select("site", "ts", one.alias("x")).select("site", "ts", "x.value", "x.code")
 

@@ -60,3 +60,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_two_events_of_an_instant_stay_apart(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * FROM (VALUES (1::BIGINT, TIMESTAMP '2024-01-01 00:00:00.000001', 'view', 1.5::DOUBLE), (2, TIMESTAMP '2024-01-01 00:00:00.000001', 'view', 2.5), (1003, TIMESTAMP '2024-01-01 00:00:00.000001', 'view', 1.5)) AS t(event_id, ts, event_type, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    rows = QUERIES["a10_a12_features"](spark, str(tmp_path)).collect()
+    assert sorted(r.value for r in rows) == [1.5, 1.5, 2.5] and {r.ts.microsecond for r in rows} == {1}
