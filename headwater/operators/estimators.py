@@ -1,7 +1,7 @@
 """Estimators that need a kernel for each network, target or pair: quantile transfer by probability, least squares with
 model error, regional skew, dissimilarity of transfers, and their blends; and the rules that choose among sources.
 
-A network's matrices have a row for each gage, some hundred; daily rows only enter through keyed joins.
+A network's fit holds a row for each gage, never a matrix of gages by gages; daily rows only enter through keyed joins.
 """
 
 from __future__ import annotations
@@ -72,18 +72,25 @@ def transfer_scores(daily: DataFrame, groups: dict[str, tuple[int, ...]] | None
 # ---- least squares with model error --------------------------------------------------------------------------
 
 
-def solve_gls(y: np.ndarray, x: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """(coefficients, model-error variance, their covariance): the variance makes the weighted residuals equal n - p."""
+def solve_gls(y: np.ndarray, x: np.ndarray, variance: np.ndarray, rho: float = 0.0) -> tuple[np.ndarray, float, np.ndarray]:
+    """(coefficients, model-error variance, their covariance): the variance makes the weighted residuals equal n - p.
+
+    Sampling errors have these variances and one correlation. Their matrix is a diagonal and a matrix of rank one, so its
+    inverse is applied in closed form: time and memory are in proportion to the number of gages.
+    """
     n, p = x.shape
+    sd, rows = np.sqrt(variance), np.column_stack([x, y])
 
     def at(g2: float) -> tuple[np.ndarray, float, np.ndarray]:
-        w = np.linalg.inv(sigma + g2 * np.eye(n))
-        cov = np.linalg.inv(x.T @ w @ x)
-        b = cov @ x.T @ w @ y
+        d = (1 - rho) * variance + g2
+        u = sd / d
+        both = rows.T @ (rows / d[:, None]) - rho / (1 + rho * float(u @ sd)) * np.outer(rows.T @ u, rows.T @ u)
+        cov = np.linalg.inv(both[:p, :p])
+        b = cov @ both[:p, p]
         e = y - x @ b
-        return b, float(e @ w @ e), cov
+        return b, float(e @ (e / d) - rho / (1 + rho * float(u @ sd)) * (e @ u) ** 2), cov
 
-    if not sigma.any():
+    if not variance.any():
         b, rss, _ = at(1.0)
         g2 = rss / (n - p)
         return b, g2, np.linalg.inv(x.T @ x) * g2
@@ -102,7 +109,10 @@ def solve_gls(y: np.ndarray, x: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarr
 
 def fit_gls(rows: DataFrame, predictors: tuple[str, ...], rho: float = 0.0) -> DataFrame:
     """A regression for each region: rows of region, site, y, variance (sampling) and predictors; sampling errors have
-    correlation rho. Returns a row for each term, with the model-error variance and standard error in percent."""
+    correlation rho (0 to below 1). Returns a row for each term, with the model-error variance and standard error in percent."""
+
+    if not 0 <= rho < 1:
+        raise ValueError(f"rho must be from 0 to below 1, not {rho}")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.dropna().sort_values("site")
@@ -110,9 +120,7 @@ def fit_gls(rows: DataFrame, predictors: tuple[str, ...], rho: float = 0.0) -> D
         if len(part) < len(names) + 2:
             return pd.DataFrame(columns=["region", "term", "coef", "se", "model_variance", "sep_pct", "n"])
         x = np.column_stack([np.ones(len(part)), *(part[c].to_numpy(float) for c in predictors)])
-        sd = np.sqrt(part["variance"].to_numpy(float))
-        sigma = np.outer(sd, sd) * np.where(np.eye(len(part), dtype=bool), 1.0, rho)
-        b, g2, cov = solve_gls(part["y"].to_numpy(float), x, sigma)
+        b, g2, cov = solve_gls(part["y"].to_numpy(float), x, part["variance"].to_numpy(float), rho)
         avp = g2 + float(np.mean(np.einsum("ij,jk,ik->i", x, cov, x)))
         return pd.DataFrame({"region": part["region"].iloc[0], "term": names, "coef": b, "se": np.sqrt(np.diag(cov)), "model_variance": g2, "sep_pct": 100 * np.sqrt(np.exp(np.log(10) ** 2 * avp) - 1), "n": len(part)})
 
@@ -132,9 +140,12 @@ def regional_skew(rows: DataFrame, predictors: tuple[str, ...] = (), correlation
 
     Unbiased skews; their variances at the ordinary least-squares skew. Coefficients by weighted least squares at the
     posterior mean of the model-error variance (exponential prior, coefficients integrated out); the variance then by
-    generalised least squares given them, with one correlation between sites. One row for each term: its coefficient
+    generalised least squares given them, with one correlation between sites (0 to below 1; the region's matrix is a
+    diagonal and one of rank one, and is never built). One row for each term: its coefficient
     and standard error, the region's model variance, mean variance of prediction and effective record length.
     """
+    if not 0 <= correlation < 1:
+        raise ValueError(f"correlation must be from 0 to below 1, not {correlation}")
     names = ["constant", *predictors]
 
     def posterior(log: np.ndarray, grid: np.ndarray) -> float:
@@ -160,12 +171,15 @@ def regional_skew(rows: DataFrame, predictors: tuple[str, ...] = (), correlation
         s2 = posterior(np.array([weighted(s)[2] for s in grid]), grid)
         b, info, _ = weighted(s2)
         hat = np.linalg.solve(info, (x / (v + s2)[:, None]).T)
-        sigma = np.sqrt(np.outer(v, v)) * np.where(np.eye(len(v), dtype=bool), 1.0, correlation)
-        values, vectors = np.linalg.eigh(sigma)
-        r2 = (vectors.T @ (g - x @ b)) ** 2
-        spread = np.maximum(grid[:, None] + np.maximum(values, 0), 1e-300)
-        s2 = posterior(-prior * grid - 0.5 * np.log(spread).sum(axis=1) - 0.5 * (r2 / spread).sum(axis=1), grid)
-        cov = hat @ (sigma + s2 * np.eye(len(v))) @ hat.T
+        r, root = g - x @ b, np.sqrt(v)
+
+        def given(s2: float) -> float:
+            d = np.maximum((1 - correlation) * v + s2, 1e-300)  # the matrix is this diagonal and one of rank one
+            more = 1 + correlation * float((v / d).sum())
+            return -prior * s2 - 0.5 * (float(np.log(d).sum()) + np.log(more)) - 0.5 * (float((r * r / d).sum()) - correlation / more * float((root * r / d).sum()) ** 2)
+
+        s2 = posterior(np.array([given(s) for s in grid]), grid)
+        cov = (hat * ((1 - correlation) * v + s2)) @ hat.T + correlation * np.outer(hat @ root, hat @ root)
         avp = s2 + float(np.einsum("ij,jk,ik->i", x, cov, x).mean())
         years = np.geomspace(5, 5000, 4000)
         at = float(np.interp(-avp, -skew_sampling_variance(years, np.full(4000, float((x @ b).mean()))), years))

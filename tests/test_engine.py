@@ -397,3 +397,32 @@ def test_bands_are_checked(band):
 def test_cells_round_as_the_sql_does(spark):
     rows = spark.createDataFrame([(9.155,), (9.995,), (9.325,), (0.0,), (12.25,), (None,)], "x double")
     assert [r.x for r in rows.select(dimensions.flow_cell(F.col("x")).alias("x")).collect()] == ["9.15", "9.99", "9.32", "0", "12.3", "-"]
+
+
+def test_networks_are_fitted_without_matrices_of_gages_by_gages(spark):
+    import tracemalloc
+
+    from headwater.operators import estimators
+
+    def dense(y, x, sigma, g2):
+        w = np.linalg.inv(sigma + g2 * np.eye(len(y)))
+        cov = np.linalg.inv(x.T @ w @ x)
+        e = y - x @ (cov @ x.T @ w @ y)
+        return cov @ x.T @ w @ y, cov, e @ w @ e
+
+    r = np.random.default_rng(1)
+    x, v = np.column_stack([np.ones(30), r.normal(size=30)]), r.uniform(0.001, 0.05, 30)
+    y = x @ [1, 2] + r.normal(size=30) * 0.4
+    b, g2, cov = estimators.solve_gls(y, x, v, 0.3)
+    want = dense(y, x, np.sqrt(np.outer(v, v)) * np.where(np.eye(30, dtype=bool), 1.0, 0.3), g2)
+    assert np.allclose(b, want[0]) and np.allclose(cov, want[1]) and want[2] == pytest.approx(28)
+    n = 6000
+    rows = spark.range(n).select(F.lit("a").alias("region"), F.col("id").cast("string").alias("site"), (F.col("id") % 7 / 10).alias("skew"), (20 + F.col("id") % 9).alias("n"))
+    kernel = []
+    rows_ = type("Rows", (), {"groupBy": lambda self, *_: self, "applyInPandas": lambda self, f, _: kernel.append(f)})()
+    estimators.regional_skew(rows_, (), 0.1)
+    tracemalloc.start()
+    estimators.solve_gls(r.normal(size=n), np.ones((n, 1)), np.full(n, 0.01), 0.2)
+    out = kernel[0](rows.toPandas())
+    assert out["n_sites"][0] == n and tracemalloc.get_traced_memory()[1] < 60e6  # a matrix would take 288 MB
+    tracemalloc.stop()
