@@ -492,3 +492,12 @@ def test_blends_and_dissimilarity_by_sums(spark, keyed):
     w = 1 / np.maximum(frame["known"] + fit.nugget + fit.slope * frame["log_ar"], 1e-9)
     slopes = [(w * w * (frame["error"] ** 2 - frame["known"] - fit.nugget - fit.slope * frame["log_ar"]) * x).sum() for x in (1.0, frame["log_ar"])]
     assert all(abs(g) < 1e-3 if c > 0 else g < 1e-3 for g, c in zip(slopes, (fit.nugget, fit.slope)))
+
+
+def test_gages_left_out_are_dealt_to_tasks(spark, keyed):
+    from headwater.operators import estimators, transfer
+
+    own = keyed.select(F.lit("a").alias("group"), "site", "log_flow", "variance", F.lit(3.0).alias("regression"), F.lit(0.05).alias("regression_variance"))
+    out = estimators.leave_one_out(transfer.keyed_transfer_pairs(keyed, 0.7).withColumn("group", F.lit("a")), own, 0.1)
+    assert out.select("site", F.spark_partition_id().alias("p")).distinct().count() == 90
+    assert "share" in out._jdf.queryExecution().executedPlan().toString()
